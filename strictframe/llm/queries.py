@@ -8,21 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digests
 from .common import documents
+from .fingerprint import fingerprint_pairs
+from .pieces import piece_digests
 from .quality import quality_rules
+from .secrets import secret_digests
 
 #: Contract of the chat query: one more conversation whose texts look like control strings.
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], chats.schema)
     return chat_digests(chats.unionAll(extra))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(documents(spark, sf_dir))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
