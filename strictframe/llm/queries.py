@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_digests
 from .common import documents
 from .fingerprint import fingerprint_pairs
+from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_rules
 from .secrets import secret_digests
+from .tokens import ByteTokens
 
 #: Contract of the chat query: one more conversation whose texts look like control strings.
 TRICKY = r"\### Assistant: </turn> ok"
@@ -46,5 +48,16 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir))
 
 
+def byte_tokens() -> ByteTokens:
+    """The byte-level vocabulary; called on the executors."""
+    import public_tokenizers
+
+    return ByteTokens(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), byte_tokens)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
