@@ -37,6 +37,8 @@ from .tokens import ByteTokens, cut
 CAPACITY, END_ID = 2048, 0
 #: Rounds of multiplicative weights, and their learning rate.
 ROUNDS, RATE = 120, 0.5
+#: Power of the length at which the prices of pieces start.
+BULK = 1.5
 
 #: A pattern is a tuple of (length, copies), longest first; a plan lists (pattern, sequences).
 Pattern = tuple[tuple[int, int], ...]
@@ -85,8 +87,9 @@ def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate
         open_ = left >= 1
         if not open_.any():
             break
-        # The dual starts at the lengths; a length served less than its share gains weight.
-        values = np.where(open_, sizes * np.exp(log_weight), 0.0)
+        # The dual starts at a power of the lengths, as long pieces are the hard ones; a length
+        # served less than its share gains weight.
+        values = np.where(open_, sizes**BULK * np.exp(log_weight), 0.0)
         copies = np.minimum(price(values, capacity), np.floor(left).astype(np.int64))
         some = copies > 0
         if not some.any():

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary import token_rows
 from .chat import chat_digests
 from .common import documents
 from .fingerprint import fingerprint_pairs
@@ -59,5 +60,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), byte_tokens)
 
 
+def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(documents(spark, sf_dir), byte_tokens)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
