@@ -10,6 +10,7 @@ from .binary import token_rows
 from .chat import chat_digests
 from .common import documents
 from .fingerprint import fingerprint_pairs
+from .licenses import scan_licenses
 from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_rules
@@ -37,6 +38,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 

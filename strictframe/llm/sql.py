@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import license_sql
+
 _CHAT = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -30,4 +32,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _CHAT}
+    return {"op2_chat_formatting": _CHAT, "op4_license_scans": license_sql()}
