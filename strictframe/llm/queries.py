@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_rules
+from .repeats import repeat_digests
 from .secrets import secret_digests
 from .tokens import ByteTokens
 
@@ -61,6 +62,10 @@ def byte_tokens() -> ByteTokens:
     return ByteTokens(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), byte_tokens)
 
