@@ -11,6 +11,7 @@ from .chat import chat_digests
 from .common import documents
 from .fingerprint import fingerprint_pairs
 from .licenses import scan_licenses
+from .neardup import near_classes
 from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_rules
@@ -29,6 +30,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], chats.schema)
