@@ -75,7 +75,7 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_label(role: Column) -> Column:
-    return F.replace(escape(role), F.lit(":"), F.lit("\\:"))
+    return F.replace(escape(role), F.lit(": "), F.lit(":\\ "))
 
 
 def _label(role: Column, t: ChatTemplate) -> Column:

@@ -173,14 +173,14 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``columns`` of the documents with every base span and every live further span replaced by ``mark``.
 
     Spans are joined back by id and text hash, so repeated ids and rows and null ids keep their own texts.
     """
-    keyed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    found = scan_secrets(keyed, id_col, text_col, keep=["__hash"]).filter(F.size("found") > 0)
-    found = found.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__key"), "found").dropDuplicates(["__id", "__key"])
+    keyed = docs.select(*dict.fromkeys([*columns, id_col, text_col, repository_col])).withColumn("__hash", F.xxhash64(F.col(text_col)))
+    found = scan_secrets(keyed, id_col, text_col, repository_col, keep=["__hash"]).filter(F.size("found") > 0)
+    found = found.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__key"), F.col("found").alias("__found")).dropDuplicates(["__id", "__key"])
     # Overlapping spans merge: text before each span that starts beyond all earlier ends, then the mark.
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -192,7 +192,7 @@ def redact(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col
             F.greatest(acc["at"], s["end"]).alias("at"),
         )
 
-    cut = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
-    text = F.when(F.col("found").isNull(), F.col(text_col)).otherwise(cut)
+    cut = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
+    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(cut)
     joined = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__key"]), "left")
     return joined.select(*(text.alias(c) if c == text_col else keyed[c] for c in columns))

@@ -13,7 +13,7 @@ WITH c AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
     length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')) AS chars,
     CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
-      ELSE 1 + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:')) END AS label
+      ELSE 1 + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ': ', ':\ ')) END AS label
   FROM c
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
