@@ -261,7 +261,7 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int = LENGTH, gram:
     spans = spans.unionAll(_shard_repeats(_spans_to_ship(keyed, text_col, ship, _SHIP, length), length))
     if not ship.filter(F.col("do").bitwiseAND(F.lit(_COUNT)) > 0).isEmpty():
         spans = spans.unionAll(_counted_repeats(_spans_to_ship(keyed, text_col, ship, _COUNT, length), length))
-    return spans.groupBy("__h", "__g").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return spans.groupBy("__h", "__g").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def merged(spans: list[dict[str, int]], length: int) -> list[tuple[int, int]]:

@@ -74,6 +74,15 @@ def test_near_groups_of_all_sizes(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()} == dict(enumerate(classes(texts)))
 
 
+def test_clumps_are_cut_into_blocks(spark, monkeypatch):
+    """A group that swells its lists is linked across blocks."""
+    monkeypatch.setattr(neardup, "HOT_LIST", 60)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    texts = variants(77, 260, 1) + [prose(7000 + i, 100) for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()} == {i: 0 if i < 260 else i for i in range(310)}
+
+
 def test_recall_of_the_recursion():
     """Pairs at the design distance are found about as often as planned, on one level and on two."""
     rng = np.random.default_rng(5)
@@ -83,10 +92,10 @@ def test_recall_of_the_recursion():
     b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
     prints = np.concatenate([a, b])
     for plan in (Recursion.plan(50_000, design, 0.99), Recursion(2, 7, 220)):
+        name, row = plan.lists(prints)
+        seen = set(zip(name.tolist(), row.tolist()))
         together = np.zeros(400, bool)
-        for _, rows in plan.lists(prints):
-            low = rows[rows < 400]
-            together[low[np.isin(low + 400, rows)]] = True
+        together[[r for n, r in seen if (n, r + 400) in seen]] = True
         assert together.mean() > 0.93
 
 
