@@ -74,6 +74,23 @@ def test_near_groups_of_all_sizes(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()} == dict(enumerate(classes(texts)))
 
 
+def star(seed, copies, edits):
+    """A text and copies that are near it, each in places of its own, but hardly near each other."""
+    return [" ".join(prose(seed, 220).split(" ")), *variants(seed, copies, edits)]
+
+
+def test_stars_are_linked(spark, monkeypatch):
+    """Copies linked only through their original, in one block and in several; a group that stays apart."""
+    texts = star(31, 60, 4) + star(32, 40, 5) + star(33, 40, 9)
+    want = dict(enumerate(classes(texts)))
+    assert len(set(want.values())) < len(texts) / 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block, hubs in ((2048, 2), (16, 0)):
+        monkeypatch.setattr(neardup, "SETTLE_BLOCK", block)
+        monkeypatch.setattr(neardup, "HUB_ROUNDS", hubs)
+        assert {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()} == want
+
+
 def test_clumps_are_cut_into_blocks(spark, monkeypatch):
     """A group that swells its lists is linked across blocks."""
     monkeypatch.setattr(neardup, "HOT_LIST", 60)
