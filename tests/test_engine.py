@@ -21,7 +21,7 @@ def e(spark):
     e.catalog.add_arrow("small", pa.table({"a": pa.array([3, 5, 2, 1], pa.int8()), "b": pa.array([2, 1, 3, 4], pa.int8()), "c": pa.array([1, 4, 5, 2], pa.int8())}))
     e.catalog.add_arrow("decs", pa.table({"x": dec(["0.1", "0.2", "0.3", "0.4"], 5, 1), "y": dec(["0.05", "0.06", "0.07", "0.08"], 3, 2)}))
     e.catalog.add_arrow("blobs", pa.table({"k": [1234, 4567], "v": pa.array([b"\x01\x02\x03", b"\x04\x05\x06\x07"])}))
-    e.catalog.add_arrow("pay", pa.table({"src": ["0x1", "0x2", "0x3", "0x2", "0x1"], "dst": ["0x2", "0x3", "0x1", "0x3", "0x2"], "value": dec(["100", "200", "300", "400", "500"], 38, 0), "at": pa.array([1, 2, 3, 4, 4], pa.timestamp("s"))}))
+    e.catalog.add_arrow("pay", pa.table({"src": [f"0x{k}" for k in "12321"], "dst": [f"0x{k}" for k in "23132"], "value": dec(["100", "200", "300", "400", "500"], 38, 0), "at": pa.array([1, 2, 3, 4, 4], pa.timestamp("s"))}))
     e.catalog.add_arrow("fine", pa.table({"p": pa.array([-(1 << 63), -1, 5, (1 << 63) - 1], pa.timestamp("ns")), "q": pa.array([(1 << 63) - 1, 0, 4, -(1 << 63)], pa.timestamp("ns"))}))
     e.catalog.add_arrow("tiny", pa.table({"k": pa.array([100, 100], pa.int8())}))
     e.catalog.add_arrow("bytes", pa.table({"u": pa.array([200, 55], pa.uint8())}))
