@@ -78,12 +78,13 @@ def sliced(df: DataFrame, offset: int = 0, limit: int | None = None, keys: list[
     return df if limit is None else df.limit(limit)
 
 
-def union_all(parts: list[tuple[DataFrame, dict[str, SqlType]]]) -> DataFrame:
-    """Rows of all parts under the names of the first; their types must be the same."""
+def union_all(parts: list[tuple[DataFrame, dict[str, SqlType]]], names: list[str] | None = None) -> DataFrame:
+    """Rows of all parts under ``names``, else those of the first part; their types must be the same."""
     if not parts:
         raise QueryError("a union without parts has no schema")
     df, schema = parts[0]
-    want = list(schema.values())
+    want, schema = list(schema.values()), names or list(schema)
+    df = df.toDF(*schema)
     for other, has in parts[1:]:
         if list(has.values()) != want:
             raise TypeMismatchError(f"union of ({', '.join(map(str, want))}) with ({', '.join(map(str, has.values()))})")

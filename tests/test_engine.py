@@ -50,10 +50,10 @@ def test_exact_arithmetic(e):
 
 
 def test_literals(e):
-    df, types = e.typed("select 45.7 as a, 100.0 as b, 0x0a as c, to_timestamp(10) as d, timestamp '2009-01-03T19:15:05+04:00' as e, 'x' as f, 9223372036854775808 as g")
+    df, types = e.typed("select 45.7 as a, 100.0 as b, 0x0a as c, to_timestamp(10) as d, timestamp '2011-02-04T18:25:06+03:00' as e, 'x' as f, 9223372036854775808 as g")
     r = df.first()
     assert (r.a, r.b, bytes(r.c), r.f, r.g) == (D("45.7"), D(100), b"\n", "x", 9223372036854775808)
-    assert r.e == datetime(2009, 1, 3, 15, 15, 5)
+    assert r.e == datetime(2011, 2, 4, 15, 25, 6)
     assert (types["a"], types["b"], types["e"], types["g"]) == (S.decimal(3, 1), S.decimal(3, 0), S.timestamp("s"), S.INT128)
 
 
@@ -66,12 +66,23 @@ def test_group_by(e):
     assert sorted(rows(e, "select owner, sum(2 * weight + 1) as w from dogs group by owner")) == [("Kim", D("51.0")), ("Lee", D("22.0"))]
     df, types = e.typed("select owner, 2 * count(1) as n from dogs group by owner order by owner")
     assert [tuple(r) for r in df.collect()] == [("Kim", 6), ("Lee", 4)] and types["n"] == S.BIGINT
-    assert sorted(rows(e, "select a, sum(2 * b + 1) as d, count(*) as k from nums where c >= 0 group by a")) == [(1, 1, 1), (2, 16, 2), (3, 5, 1)]
+    assert sorted(rows(e, "select a, sum(1 + 2 * b) as d, count(*) as k from nums where c >= 0 group by a")) == [(1, 1, 1), (2, 16, 2), (3, 5, 1)]
     assert sorted(rows(e, "select owner, max(age) as hi, min(age) as lo from dogs group by owner")) == [("Kim", 13, 0), ("Lee", 4, 4)]
     assert sorted(rows(e, "select owner, true as yes from dogs group by owner")) == [("Kim", True), ("Lee", True)]
     assert sorted(rows(e, "select a, a + sum(b) - 1 as r from nums group by a")) == [(1, 1), (2, 8), (3, 4)]
 
 
+def test_groups_come_in_order(e, spark):
+    """Without ORDER BY, groups come in the order of their keys, also before a limit."""
+    text = "select sum(b) as s, a from nums group by a"
+    assert [r[1] for r in rows(e, text)] == [1, 2, 3]
+    assert [r[1] for r in rows(e, text + " limit 2")] == [1, 2]
+    assert [r[0] for r in rows(e, "select count(*) as n from dogs group by owner")] == [3, 2]
+    plain = Engine(spark, sorted_groups=False)
+    plain.catalog = e.catalog
+    assert "Sort" not in plain.sql(text)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sums_keep_their_type(e):
     assert e.typed("select sum(age) as s from dogs")[1]["s"] == S.TINYINT
     with pytest.raises(Exception, match="OVERFLOW|overflow"):
