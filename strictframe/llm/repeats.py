@@ -44,7 +44,7 @@ from .suffixes import repeated, suffix_array
 
 LENGTH, GRAM = 200, 32
 #: Distinct stretches of one hash up to which they share a suffix array; bytes of one array.
-HOT, SHARD_BYTES = 2000, 1 << 20
+HOT, SHARD_BYTES = 2000, 1 << 19
 #: Equal stretches in a row (periodic text) that one row may stand for; with 14 bits for its windows.
 RUN = 60
 
