@@ -27,10 +27,13 @@ from .common import bool_field, long_field, map_texts, texts_of
 _WS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
-#: Production parameters.  A repeat counts from 10 words; repeats may cover 50 %
-#: of the words, and the longest may hold 40 % of them if it has over 100 words.
+#: Production parameters.  A repeat counts from 10 words; repeats may cover 30 %
+#: of the words, and the longest may hold 10 % of them if it has over 100 words.
+#: Covered words also lie in repeated 3-word windows, so a limit on them decides
+#: only below ``BASE_PERCENT``; two copies cover twice the longest repeat, so its
+#: limit decides only below half of the covered one.
 MIN_WORDS, BASE_PERCENT = 50, 50
-MIN_SPAN, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 10, 0.5, 0.4, 100
+MIN_SPAN, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 10, 0.3, 0.1, 100
 
 
 def suffix_array(words: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

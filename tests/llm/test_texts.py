@@ -105,6 +105,20 @@ def test_quality_method_decides(spark):
     assert not once_more["kept"][0] and once_more["longest_repeat"][0] == 150
 
 
+def test_repeats_decide_below_the_base():
+    """Texts that pass the base rule and are rejected for what their repeats cover, or for one long repeat."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passages = [words(f"p{k}x", 20) for k in range(10)]
+    covered = " ".join([*passages, words("r", 600), *passages])  # 40 % in repeats of 20 words or more
+    scattered = " ".join(x for k, p in enumerate(passages) for x in (p, words(f"s{k}x", 60), p))  # 40 % in repeats of exactly 20
+    longest = " ".join([words("p", 120), words("r", 700), words("p", 120)])  # 25.5 %, but 12.8 % at a stretch
+    little = " ".join([words("p", 90), words("r", 700), words("p", 90)])  # 20.5 %
+    got = quality.judge([covered, scattered, longest, little])
+    assert got["base_failed"].tolist() == [False] * 4
+    assert got["kept"].tolist() == [False, False, False, True]
+    assert got["covered_words"].tolist() == [400, 400, 240, 180] and got["longest_repeat"].tolist() == [200, 20, 120, 90]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=60), max_size=6))
 def test_suffix_arrays_of_words(texts):
