@@ -2,9 +2,11 @@
 
 One map pass finds the matches of each whole text.  Candidate hashes are then
 counted by distinct repositories and owners over the whole corpus: a value held
-by several owners is a widely copied example; one held by a single owner looks
-live.  Base matches are always reported; matches of the further kinds are added
-only if they look live.
+by a single owner looks live; one held by many is a widely copied example.  A
+document with a key may itself have copies, so a few owners don't make an
+example.  All matches are reported: those of the further kinds that are widely
+copied in a list of their own, all others, with the flag of looking live, in the
+main one.
 
 Defined cases: a null text is the empty text; a null repository counts as one
 of its own; repeated rows are reported row by row; an empty table gives an
@@ -29,7 +31,12 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Further kinds, in the order in which they are listed after the base kinds.
 MORE_KINDS = ("pem", "jwt", "vendor", "opaque")
 KINDS = BASE_KINDS + MORE_KINDS
+#: Kinds whose form alone tells a credential; they are redacted however many hold them.
+STRUCTURED_KINDS = ("pem", "jwt", "vendor")
+#: A value looks live up to these, and is widely copied beyond those.  The second
+#: bound acts where owners have several repositories each.
 MAX_OWNERS, MAX_REPOSITORIES = 1, 3
+WIDE_OWNERS, WIDE_REPOSITORIES = 4, 12
 MIN_ENTROPY = 3.5
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -128,9 +135,12 @@ def scan_secrets(
     max_owners: int = MAX_OWNERS,
     max_repositories: int = MAX_REPOSITORIES,
     keep: list[str] | None = None,
+    wide_owners: int = WIDE_OWNERS,
+    wide_repositories: int = WIDE_REPOSITORIES,
 ) -> DataFrame:
-    """One row a document: ``id_col``, the columns ``keep`` and ``found``, an array of (start, end, kind, base, live).
+    """One row a document: ``id_col``, the columns ``keep``, ``found`` and ``copied``, arrays of (start, end, kind, base, live).
 
+    ``copied`` has the widely copied matches of the further kinds, ``found`` all others.
     A repository's owner is the part of its name before the first slash.
     The candidates (no texts) are checkpointed: they are counted and read again.
     """
@@ -139,21 +149,25 @@ def scan_secrets(
     repository = F.col(repository_col).cast("string")
     counts = ownership(found.filter(F.size("found") > 0), repository, F.substring_index(repository, "/", 1))
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    wide = (F.col("owners") > wide_owners) | (F.col("repositories") > wide_repositories)
     judged = (
         found.filter(F.size("found") > 0)
         .select("__row", F.explode("found").alias("s"))
         .join(counts.withColumnRenamed("hash", "__hash"), F.col("s.hash") == F.col("__hash"))
-        .select("__row", "s", live.alias("live"))
-        .filter((F.col("s.kind") < len(BASE_KINDS)) | F.col("live"))
+        .select("__row", "s", live.alias("live"), (wide & (F.col("s.kind") >= len(BASE_KINDS))).alias("copied"))
         .groupBy("__row")
-        .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live"))).alias("judged"))
+        .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live", "copied"))).alias("judged"))
     )
     kinds = F.array(*map(F.lit, KINDS))
-    spans = F.transform(
-        F.coalesce("judged", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("kind"), (s["kind"] < len(BASE_KINDS)).alias("base"), s["live"].alias("live")),
-    )
-    return found.join(judged, "__row", "left").select(*carried, spans.alias("found"))
+    every = F.coalesce("judged", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,copied:boolean>>"))
+
+    def spans(copied: bool) -> Column:
+        return F.transform(
+            F.filter(every, lambda s: s["copied"] == copied),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("kind"), (s["kind"] < len(BASE_KINDS)).alias("base"), s["live"].alias("live")),
+        )
+
+    return found.join(judged, "__row", "left").select(*carried, spans(False).alias("found"), spans(True).alias("copied"))
 
 
 def _listed(spans: Column) -> Column:
@@ -161,7 +175,7 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, digest of the base spans and the list of all spans, from ``scan_secrets``."""
+    """Counts, digest of the base spans, and the lists of the spans found and of the widely copied ones, from ``scan_secrets``."""
     base = F.filter("found", lambda s: s["base"])
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return scan_secrets(docs, id_col).select(
@@ -170,16 +184,19 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
+        _listed(F.col("copied")).alias("copied"),
     )
 
 
 def redact(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """``columns`` of the documents with every base span and every live further span replaced by ``mark``.
+    """``columns`` of the documents with every span found, and every widely copied one of a structured kind, replaced by ``mark``.
 
     Spans are joined back by id and text hash, so repeated ids and rows and null ids keep their own texts.
     """
     keyed = docs.select(*dict.fromkeys([*columns, id_col, text_col, repository_col])).withColumn("__hash", F.xxhash64(F.col(text_col)))
-    found = scan_secrets(keyed, id_col, text_col, repository_col, keep=["__hash"]).filter(F.size("found") > 0)
+    found = scan_secrets(keyed, id_col, text_col, repository_col, keep=["__hash"])
+    structured = F.filter("copied", lambda s: s["kind"].isin(*STRUCTURED_KINDS))
+    found = found.withColumn("found", F.sort_array(F.concat("found", structured))).filter(F.size("found") > 0)
     found = found.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__key"), F.col("found").alias("__found")).dropDuplicates(["__id", "__key"])
     # Overlapping spans merge: text before each span that starts beyond all earlier ends, then the mark.
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
