@@ -116,6 +116,22 @@ def test_recall_of_the_recursion():
         assert together.mean() > 0.93
 
 
+def test_recall_of_large_plans():
+    """However many levels a corpus needs, a pair must not die out on any of them."""
+    design, _ = neardup.distances()
+    for n, levels in ((250_000, 1), (500_000, 2), (1_000_000, 2), (15_000_000, 2), (200_000_000, 3)):
+        plan = Recursion.plan(n, design, 0.9999)
+        assert plan.levels == levels and plan.recall(design) >= 0.9999
+    plan = Recursion.plan(1_000_000, design, 0.9999)
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 63, (4000, 2), dtype=np.uint64)
+    flips = rng.permuted(np.tile(np.arange(128) < round(design * 128), (4000, 1)), axis=1)
+    b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    name, row = plan.lists(np.concatenate([a, b]))
+    both = np.intersect1d(name[row < 4000] * 4000 + row[row < 4000], name[row >= 4000] * 4000 + row[row >= 4000] - 4000)
+    assert len(set((both % 4000).tolist())) >= 0.998 * 4000
+
+
 def test_links_join_a_long_list():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64)
