@@ -4,7 +4,7 @@ A text's paragraphs (lines, cut again after sentence ends) are hashed to wide
 vectors that are summed lane by lane modulo powers of two:
 
 * 8 lanes modulo 2^64 hold BLAKE2b digests; they tell multisets apart;
-* 128 lanes modulo 2^16 hold +-1 by the bits of a second hash; centred, their
+* 128 lanes modulo 2^32, more than a text has paragraphs, hold +-1 by the bits of a second hash; centred, their
   scalar products estimate how many paragraphs two texts share.
 
 So equal texts, and any order of the same paragraphs, have equal fingerprints;
@@ -41,7 +41,7 @@ def paragraphs(text: str) -> list[bytes]:
 
 
 class Fingerprints:
-    """Fingerprints of a list of texts: ``wide`` uint64 (n, 8) and ``signed`` int16 (n, 128), both wrapping."""
+    """Fingerprints of a list of texts: ``wide`` uint64 (n, 8) and ``signed`` int32 (n, 128), both wrapping."""
 
     def __init__(self, wide: np.ndarray, signed: np.ndarray):
         self.wide, self.signed = wide, signed
@@ -49,17 +49,17 @@ class Fingerprints:
     @classmethod
     def of_parts(cls, parts: list[list[bytes]]) -> Fingerprints:
         n = len(parts)
-        wide, signed = np.zeros((n, WIDE), np.uint64), np.zeros((n, SIGNED), np.int16)
+        wide, signed = np.zeros((n, WIDE), np.uint64), np.zeros((n, SIGNED), np.int32)
         flat = [p for ps in parts for p in ps]
         if flat:
             a = np.frombuffer(b"".join([hashlib.blake2b(p).digest() for p in flat]), "<u8").reshape(-1, WIDE)
             bits = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in flat]), np.uint8).reshape(-1, SIGNED // 8)
-            signs = (np.unpackbits(bits, axis=1).astype(np.int8) * 2 - 1).astype(np.int16)
+            signs = np.unpackbits(bits, axis=1).astype(np.int8) * 2 - 1
             sizes = np.array([len(ps) for ps in parts])
             full = np.flatnonzero(sizes)
             at = (np.cumsum(sizes) - sizes)[full]
             wide[full] = np.add.reduceat(a, at, axis=0)
-            signed[full] = np.add.reduceat(signs, at, axis=0, dtype=np.int16)
+            signed[full] = np.add.reduceat(signs, at, axis=0, dtype=np.int32)
         return cls(wide, signed)
 
     @classmethod
@@ -78,7 +78,7 @@ class Fingerprints:
         return Fingerprints(self.wide - other.wide, self.signed - other.signed)
 
     def hex(self) -> list[str]:
-        return [a.tobytes().hex() + b.tobytes().hex() for a, b in zip(self.wide.astype("<u8"), self.signed.astype("<i2"))]
+        return [a.tobytes().hex() + b.tobytes().hex() for a, b in zip(self.wide.astype("<u8"), self.signed.astype("<i4"))]
 
     def likeness(self, other: Fingerprints) -> np.ndarray:
         """Estimated cosine of the paragraph counts, 0 to 1; 1 exactly where the fingerprints are equal.

@@ -212,6 +212,13 @@ def test_fingerprint_algebra():
     assert paragraphs("a. b\n\nc") == [b"a.", b"b", b"c"]
 
 
+def test_many_copies_of_a_paragraph_keep_their_sign():
+    """40,000 equal lines are like 20,000 of them, and their fingerprint is that of two halves."""
+    whole, half = Fingerprints.of(["same line\n" * 40_000]), Fingerprints.of(["same line\n" * 20_000])
+    assert abs(whole.likeness(half)[0] - 1) < 1e-9
+    assert half.plus(half).hex() == whole.hex() and whole.minus(half).hex() == half.hex()
+
+
 def test_fingerprints(spark, docs, none, pairs):
     assert fingerprint_pairs(none).count() == 0
     order = sorted(pairs, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
