@@ -3,7 +3,8 @@
 Two libraries share the vocabulary.  The one of the rank file is several times
 faster and takes the texts of long-settled Latin characters; texts with any
 other character go to the tokenizer file, whose ids are the reference, as the
-libraries may hold different versions of the Unicode classes.
+libraries may hold different versions of the Unicode classes.  So do texts with
+the string of an added token, which gets that token's id, as the library has it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_file and pattern:
             import tiktoken
@@ -36,7 +37,7 @@ class ByteTokens:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit integers; the empty text has none."""
-        if self.fast is not None and not _UNSETTLED.search(text):
+        if self.fast is not None and not _UNSETTLED.search(text) and not any(t in text for t in self.added):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -260,6 +260,14 @@ def test_fast_tokens_match_the_tokenizer(pairs):
         assert tokens.encode(text).tolist() == tokens.model.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_their_ids():
+    """Strings of added tokens are encoded as the plain call of the library does."""
+    plain, tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), byte_tokens()
+    for text in ("<|endoftext|>", "a <|endoftext|>b<|endoftext|>", "日本 <|endoftext|>", "<|endoftext", "plain"):
+        assert tokens.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(tokens.encode("<|endoftext|>")) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit_decreasing(lengths):
