@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import types as S
 from ..errors import QueryError, TypeMismatchError
 from ..functions.typed import Typed, checked_byte
+from ..session import checkpointed
 from ..types import SqlType
 
 
@@ -62,12 +64,20 @@ def ordered(df: DataFrame, keys: tuple[tuple[str, bool], ...]) -> DataFrame:
     return df.orderBy(*(F.col(a).asc() if up else F.col(a).desc() for a, up in keys))
 
 
-def sliced(df: DataFrame, offset: int = 0, limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
+def sliced(df: DataFrame, offset: int = 0, limit: int | None = None, keys: tuple[tuple[str, bool], ...] = ()) -> DataFrame:
     """``limit`` rows from ``offset`` on; a negative offset counts from the end.
 
-    That takes one more pass, to count the rows.  An offset beyond the end gives
-    no rows, one before the beginning is an error.
+    Where ``keys`` say how the rows are ordered, the last rows are the first ones
+    in the reversed order: a top-k, which is also what shows that there are
+    enough of them.  Without an order the rows are counted first.  An offset
+    beyond the end gives no rows, one before the beginning is an error.
     """
+    if offset < 0 and keys:
+        tail = ordered(df, tuple((a, not up) for a, up in keys)).limit(-offset)
+        n = tail.count()
+        if n + offset < 0:
+            raise QueryError(f"offset {offset} lies before the first of {n} rows")
+        df, offset = ordered(tail, keys), 0
     if offset < 0:
         n = df.count()
         if n + offset < 0:
@@ -124,14 +134,39 @@ def multiplicities(keys: DataFrame, data: DataFrame, key: str) -> DataFrame:
 def with_row_index(df: DataFrame, order: list[str], name: str = "rho") -> DataFrame:
     """Dense numbers 0..n-1 in the given order, without gathering all rows in one task.
 
-    Rows are sorted by ranges; the sizes of the ranges (one row each) give
-    where each begins.
+    Rows are laid out once by ranges of the order, each range sorted, and
+    written with range and place; sizes and numbers both come from what was
+    written, so they agree whatever adaptive execution or the sampling of
+    bounds does.  Rows of equal keys are told apart by a hash of the whole row,
+    so a key that many rows share is spread over ranges too.  Only the sizes
+    are broadcast: one row a range.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.withColumn("__in", within).join(base, "__part").select(*df.columns, (F.col("__base") + F.col("__in")).cast("decimal(38,0)").alias(name))
+    part, base, tie, at = (_fresh(df, n) for n in ("part", "base", "tie", "at"))
+    hashed = [c for c, t in zip(df.columns, df.schema) if not isinstance(t.dataType, T.MapType)]
+    keys = [*order, tie]
+    laid = checkpointed(
+        df.withColumn(tie, F.xxhash64(*(_col(c) for c in hashed)))
+        .repartitionByRange(*map(_col, keys))
+        .sortWithinPartitions(*map(_col, keys))
+        .select(*map(_col, df.columns), F.monotonically_increasing_id().alias(at))
+    )
+    # A monotonic id is the number of the partition, then 33 bits of the place in it.
+    sizes = laid.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count(F.lit(1)).alias(base))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(part, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    numbered = laid.join(F.broadcast(bases), F.shiftright(at, 33) == F.col(part))
+    return numbered.select(*map(_col, df.columns), (F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("decimal(38,0)").alias(name))
+
+
+def _col(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while f"__{name}" in df.columns:
+        name += "_"
+    return f"__{name}"
 
 
 def gather(indexed: DataFrame, positions: DataFrame, name: str = "rho") -> DataFrame:

@@ -153,6 +153,17 @@ def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_digests(R.with_row_index(df, ["o_orderkey"]), schema, "rho")
 
 
+@_frame("sql69_digest_rows", "select count(*) as n, min(o_orderkey) as o_orderkey_least, max(o_orderkey) as o_orderkey_greatest, min(o_custkey) as o_custkey_least, max(o_custkey) as o_custkey_greatest, true as repeats from orders")
+def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the digest, and whether rows laid out anew and in another order give the same one."""
+    e = _engine(spark, sf_dir, "select * from orders")
+    df, schema = e.catalog.get("orders")
+    one = column_digests(R.with_row_index(df, ["o_orderkey"]), schema, "rho").first()
+    again = column_digests(R.with_row_index(df.repartition(7, "o_custkey"), ["o_orderkey"]), schema, "rho")
+    same = F.lit(again.first() == one)
+    return again.select("n", *(f"{c}_{b}" for c in ("o_orderkey", "o_custkey") for b in ("least", "greatest")), same.alias("repeats"))
+
+
 @_frame("sql73_bounds", "select min(o_orderkey) as o_orderkey_least, max(o_orderkey) as o_orderkey_greatest, min(o_orderdate) as o_orderdate_least, max(o_orderdate) as o_orderdate_greatest from orders")
 def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds(_read(spark, sf_dir, "orders"), ["o_orderkey", "o_orderdate"])
@@ -169,9 +180,20 @@ def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in table_names(_SQL["sql44_join_group"][0])], "name string")
 
 
-@_frame("sql76_row_index", "select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as decimal(38,0)) as rho from orders")
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@_frame("sql76_row_index", f"select *, cast(row_number() over (order by {_LINE}) - 1 as decimal(38,0)) as rho from lineitem")
+def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.with_row_index(_read(spark, sf_dir, "lineitem"), _LINE.split(", "))
+
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@_frame("sql76_row_index", f"select *, cast(row_number() over (order by {_LINE}) - 1 as decimal(38,0)) as rho from lineitem")
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.with_row_index(_read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return R.with_row_index(_read(spark, sf_dir, "lineitem"), _LINE.split(", "))
 
 
 @_frame("sql77_gather", "select n_name from (select n_name, n_regionkey, row_number() over (order by n_nationkey) - 1 as rho from nation) n join region on rho = r_regionkey * 2")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Exact decimals, checked arithmetic, UTC; shuffle partitions are left to adaptive execution.
 SETTINGS = {
@@ -28,3 +31,30 @@ def create(app: str = "strictframe", master: str | None = None) -> SparkSession:
     if master:
         b = b.master(master)
     return configure(b.getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset and the master is this machine alone, as in tests,
+    a temporary folder takes its place; on a cluster its absence is an error.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "strictframe-shared")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write an intermediate that is read more than once to the shared folder and cut its lineage there.
+
+    Spark removes the files with the last reference to them where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

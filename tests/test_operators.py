@@ -1,3 +1,4 @@
+import os
 from decimal import Decimal as D
 
 import pyarrow as pa
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strictframe import types as S
 from strictframe.cli import Database, _schema
-from strictframe.errors import DigestError, NullInputError, TypeMismatchError
+from strictframe.errors import DigestError, NullInputError, QueryError, TypeMismatchError
 from strictframe.functions import wide
 from strictframe.functions.digest import Bounds, digest, result_hash
 from strictframe.operators import relational as R
@@ -163,3 +164,40 @@ def test_database(spark, tmp_path):
     assert out["rows"] == [["hello"], ["world"]] and db.verify(out)
     db.append("t", str(tmp_path / "one.csv"))
     assert not db.verify(out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables not there")
+@pytest.mark.parametrize("parts,coalesce,advisory", [(4, "true", "64m"), (16, "true", "100k"), (200, "true", "1m"), (16, "false", "64m")])
+def test_row_index_keeps_every_row_of_wide_tables(spark, parts, coalesce, advisory):
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+        numbered = R.with_row_index(lines, ["l_orderkey", "l_linenumber"])
+        n, distinct, least, most, rows = numbered.agg(F.count("*"), F.count_distinct("rho"), F.min("rho"), F.max("rho"), F.count_distinct(*lines.columns)).first()
+        assert (n, distinct, least, most) == (60_000, 60_000, 0, 59_999) and rows == lines.distinct().count()
+        assert got(R.monotonic(numbered.select(F.col("rho"), F.col("l_orderkey")), "l_orderkey", "rho")) == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_row_index_splits_a_hot_key_and_keeps_names(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("__at"), F.col("id").alias("a.b"))
+    numbered = R.with_row_index(df, ["k"])
+    assert numbered.columns == ["k", "__at", "a.b", "rho"]
+    rows = sorted((int(r.rho), r.k) for r in numbered.collect())
+    assert [r for r, _ in rows] == list(range(3000)) and [k for _, k in rows] == sorted(k for _, k in rows)
+
+
+def test_offsets_from_the_end_are_top_k(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 3).alias("m"))
+    order = (("m", False), ("k", True))
+    expected = sorted(((k, k % 3) for k in range(50)), key=lambda r: (-r[1], r[0]))
+    assert got(R.sliced(R.ordered(df, order), -5, None, order)) == expected[-5:]
+    assert got(R.sliced(R.ordered(df, order), -5, 2, order)) == expected[-5:-3]
+    assert got(R.sliced(R.ordered(df, order), -50, None, order)) == expected
+    with pytest.raises(QueryError, match="before the first of 50 rows"):
+        R.sliced(R.ordered(df, order), -51, None, order)
