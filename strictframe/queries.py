@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import types as S
+from .cli import Database
 from .engine import Engine
 from .functions import wide
-from .functions.digest import bounds, column_digests, result_hash
+from .functions.digest import bounds, column_digests, digest, result_hash
 from .operators import relational as R
 from .plans.parser import table_names
-from .session import configure
+from .session import configure, shared_folder
+from .sources import files
 from .sources.catalog import append_csv, from_arrow, random_table, read_csv, to_arrow
 from .streaming.append import append_stream, current_digests, digests, table
 
@@ -164,6 +166,54 @@ def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("n", *(f"{c}_{b}" for c in ("o_orderkey", "o_custkey") for b in ("least", "greatest")), same.alias("repeats"))
 
 
+def _parts(spark: SparkSession, sf_dir: str, first: int) -> tuple[Engine, list[str]]:
+    """Orders as a whole and cut after the first rows, with the tail's rows numbered on."""
+    e = _engine(spark, sf_dir, "select * from orders")
+    df, schema = e.catalog.get("orders")
+    numbered = R.with_row_index(df, ["o_orderkey"], "__rho")
+    e.catalog.add("head", numbered.filter(F.col("__rho") < first).drop("__rho"), schema)
+    e.catalog.add("tail", numbered.filter(F.col("__rho") >= first).drop("__rho"), schema)
+    e.catalog.update_offset("tail", first)
+    return e, list(schema)
+
+
+def _algebra(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "first_row long, end_row long, o_orderkey_least long, o_orderkey_greatest long, kind string, same boolean")
+
+
+def _summary(d, kind: str, same: bool) -> tuple:
+    b = d.columns["o_orderkey"][2]
+    return d.start, d.end, b.least, b.greatest, kind, same
+
+
+_ORDERS = "from (select o_orderkey, row_number() over (order by o_orderkey) as k from orders)"
+
+
+@_frame("sql70_append_digest", f"select 0::bigint as first_row, count(*) as end_row, min(o_orderkey) as o_orderkey_least, max(o_orderkey) as o_orderkey_greatest, 'sharp' as kind, true as same {_ORDERS}")
+def appended_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, _ = _parts(spark, sf_dir, 500)
+    whole, both = e.catalog.digest("orders", ["o_orderkey"]), e.catalog.digest("head", ["o_orderkey"]).add(e.catalog.digest("tail", ["o_orderkey"]))
+    return _algebra(spark, [_summary(both, both.columns["o_orderkey"][2].kind, both == whole)])
+
+
+@_frame("sql71_extend_digest", f"select 0::bigint as first_row, count(*) as end_row, min(o_orderkey) as o_orderkey_least, max(o_orderkey) as o_orderkey_greatest, 'sharp' as kind, true as same {_ORDERS}")
+def extended_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark, sf_dir, "select * from orders")
+    df, schema = e.catalog.get("orders")
+    names = list(schema)
+    numbered = R.with_row_index(df, ["o_orderkey"])
+    left, right = ({c: schema[c] for c in part} for part in (names[:2], names[2:]))
+    both = digest(numbered, left).extend(digest(numbered, right))
+    return _algebra(spark, [_summary(both, "sharp", both == digest(numbered, schema))])
+
+
+@_frame("sql72_subtract_digest", f"select 0::bigint as first_row, 500::bigint as end_row, min(o_orderkey) as o_orderkey_least, max(o_orderkey) as o_orderkey_greatest, 'bounded' as kind, true as same {_ORDERS}")
+def subtracted_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, names = _parts(spark, sf_dir, 500)
+    head, rest = e.catalog.digest("head", ["o_orderkey"]), e.catalog.digest("orders", ["o_orderkey"]).subtract(e.catalog.digest("tail", ["o_orderkey"]))
+    return _algebra(spark, [_summary(rest, rest.columns["o_orderkey"][2].kind, all(head.columns[c][1] == rest.columns[c][1] for c in names))])
+
+
 @_frame("sql73_bounds", "select min(o_orderkey) as o_orderkey_least, max(o_orderkey) as o_orderkey_greatest, min(o_orderdate) as o_orderdate_least, max(o_orderdate) as o_orderdate_greatest from orders")
 def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds(_read(spark, sf_dir, "orders"), ["o_orderkey", "o_orderdate"])
@@ -175,6 +225,14 @@ def hashed_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(result_hash(e.sql(_SQL["sql48_flagship"][0])),)], "hash string")
 
 
+@_frame("sql74_result_hash_checks", "select 64 as digits, true as order_free, true as sees_change")
+def checked_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "orders")
+    h = result_hash(df)
+    changed = df.withColumn("o_custkey", F.when(F.col("o_orderkey") == 1, -1).otherwise(F.col("o_custkey")))
+    return spark.createDataFrame([(len(h), h == result_hash(df.repartition(5, "o_custkey").orderBy("o_orderdate")), h != result_hash(changed))], "digits int, order_free boolean, sees_change boolean")
+
+
 @_frame("sql75_tables", "select unnest(['lineitem', 'orders', 'customer']) as name")
 def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in table_names(_SQL["sql44_join_group"][0])], "name string")
@@ -208,6 +266,39 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.coerced(df, {"k": S.INT, "name": S.VARCHAR})
 
 
+@_frame("sql80_catalog", "select t.name, c.column_name, c.place, t.first_row from (select unnest(['a.nation', 'nation']) as name, unnest([0, 7]) as first_row) t cross join (select unnest(['n_nationkey', 'n_name']) as column_name, unnest([0, 1]) as place) c")
+def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark)
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    e.catalog.add("a.nation", nation)
+    e.catalog.add("nation", nation, offset=3)
+    e.catalog.update_offset("nation", 7)
+    return spark.createDataFrame([(t, c, k, e.catalog.offset(t)) for t in e.catalog.tables for k, c in enumerate(e.catalog.columns(t))], "name string, column_name string, place int, first_row int")
+
+
+@_frame("sql57_strict_empty", "select count(*) as n, cast(sum(l_linenumber) as int) as s from lineitem where l_linenumber > 100 having count(*) > 0")
+def strict_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, strict_empty=True)
+    e.catalog.add_parquet("lineitem", f"{sf_dir}/lineitem.parquet")
+    return e.sql("select count(*) as n, sum(l_linenumber) as s from lineitem where l_linenumber > 100")
+
+
+@_frame("sql09_database", "select c_custkey, c_name from customer where c_custkey > 40 and c_nationkey = 3")
+def database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV database: create, append in two parts, query."""
+    folder = _shared(spark)
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("bigint").alias("c_nationkey"))
+    db = Database(spark, f"{folder}/db")
+    db.create("customer", "c_custkey bigint, c_name varchar, c_nationkey bigint")
+    for k in range(2):
+        append_csv(rows.filter(F.col("c_custkey") % 2 == k), f"{folder}/part{k}")
+        db.append("customer", f"{folder}/part{k}")
+    query = "select c_custkey, c_name from customer where c_custkey > 40 and c_nationkey = 3"
+    if not db.verify(db.run(query, 10)):
+        raise AssertionError("the same query over the same tables has another hash")
+    return db.engine(query).sql(query)
+
+
 @_frame("sql04_arrow", "select r_regionkey, r_name from region")
 def arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = from_arrow(configure(spark), pq.read_table(f"{sf_dir}/region.parquet", columns=["r_regionkey", "r_name"]))
@@ -228,6 +319,16 @@ def random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_table(configure(spark), kinds, 1000)
 
 
+@_frame("sql10_random_bounds", "select 1000::bigint as n, true as repeats, true as within, true as spread, 10 as longest")
+def random_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same seed gives the same rows, numbers lie within their bound and strings within ten characters."""
+    kinds = {"a": S.BIGINT, "b": S.TINYINT, "c": S.VARCHAR}
+    one, again, other = (random_table(configure(spark), kinds, 1000, 50, seed) for seed in (1, 1, 2))
+    r = one.agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"), F.count_distinct("a").alias("values"), F.max(F.char_length("c")).alias("longest")).first()
+    repeats = result_hash(one) == result_hash(again) != result_hash(other)
+    return spark.createDataFrame([(r["n"], repeats, -50 <= r["lo"] <= r["hi"] <= 50, r["values"] > 80, r["longest"])], "n long, repeats boolean, within boolean, spread boolean, longest int")
+
+
 @_frame("sql_wide_products", "select o_orderkey, cast(cast(o_orderkey as hugeint) * o_custkey * 1000000000000000000000000 as varchar) as r from orders")
 def wide_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = wide.from_number(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "a", F.col("o_orderkey"))
@@ -255,11 +356,17 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder where all executors write: under the cluster's checkpoint folder, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/strictframe-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix="strictframe-")
+    """A new folder where all executors write, removed when this process ends."""
+    folder = f"{shared_folder(spark)}/strictframe-{os.urandom(6).hex()}"
+    atexit.register(_forget, spark, folder)
+    return folder
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        files.remove(spark, folder)
+    except Exception:  # noqa: BLE001  the session may have ended before; its shared folder goes with the cluster
+        pass
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import types as S
 from ..errors import NullInputError, TypeMismatchError, UnknownNameError
+from ..functions.digest import Digest, digest
+from ..operators.relational import with_row_index
 from ..types import SqlType
+from . import files
 
 
 def normalised(df: DataFrame, types: dict[str, SqlType] | None = None, not_null: bool = True) -> tuple[DataFrame, dict[str, SqlType]]:
@@ -45,28 +49,91 @@ def without_nulls(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What was found in tables that have not changed since, by path; for the running application only.
+_CHECKED: dict[tuple, list[str]] = {}
+
+
+def parquet_nulls(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
+    """Columns that hold a null, from the null counts in the footers of the files.
+
+    Counts of columns are pushed to the footers by the second version of the
+    Parquet source, one task a group of files.  A table is asked once as long
+    as the change time of its file or folder stays the same.
+    """
+    key = None
+    if (changed := files.changed(spark, path)) is not None:
+        key = (spark.sparkContext.applicationId, path, *changed, tuple(columns))
+        if key in _CHECKED:
+            return _CHECKED[key]
+    found = _footer_counts(spark, path, columns)
+    if key is not None:
+        _CHECKED[key] = found
+    return found
+
+
+def _footer_counts(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
+    def nulls() -> list[str]:
+        n, *counts = spark.read.parquet(path).agg(F.count(F.lit(1)), *(F.count(F.col(f"`{c}`")) for c in columns)).first()
+        return [c for c, k in zip(columns, counts) if k != n]
+
+    # Both settings decide at planning; they are put back before anything else is planned.
+    use = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in use}
+    try:
+        for k, v in use.items():
+            spark.conf.set(k, v)
+        return nulls()
+    except PySparkException:  # footers without null counts: the columns themselves are read
+        spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+        return nulls()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Catalog:
     """A registry of tables; names are ``table`` or ``schema.table``."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, tuple[DataFrame, dict[str, SqlType]]] = {}
+        self.offsets: dict[str, int] = {}
 
-    def add(self, name: str, df: DataFrame, types: dict[str, SqlType] | None = None, not_null: bool = True) -> None:
+    def add(self, name: str, df: DataFrame, types: dict[str, SqlType] | None = None, not_null: bool = True, offset: int = 0) -> None:
+        """``offset`` is the number of the table's first row, for digests of parts of a longer table."""
         if name.count(".") > 1:
             raise UnknownNameError(f"{name} has more than two parts")
         self.tables[name.lower()] = normalised(df, types, not_null)
-
-    def add_parquet(self, name: str, path: str, not_null: bool = False) -> None:
-        """Columns the engine has no type for (arrays, maps) are left out.
-
-        A check for nulls in the projection keeps filters from reaching the
-        files, so here it is made only if asked for; ``without_nulls`` checks a
-        table once instead.
+        self.offsets[name.lower()] = offset
+
+    def offset(self, name: str) -> int:
+        self.get(name)
+        return self.offsets.get(name, 0)
+
+    def update_offset(self, name: str, offset: int) -> None:
+        self.get(name)
+        self.offsets[name] = offset
+
+    def digest(self, name: str, order: list[str]) -> Digest:
+        """The digest of a table whose rows, in the given order, are numbered from its offset on."""
+        df, schema = self.get(name)
+        start = self.offset(name)
+        numbered = with_row_index(df, order).withColumn("rho", (F.col("rho") + F.lit(start)).cast("decimal(38,0)"))
+        return digest(numbered, schema, "rho", start)
+
+    def add_parquet(self, name: str, path: str, check: bool = True) -> None:
+        """A table of Parquet files; a null in any of its columns is an error.
+
+        The null counts of the files' footers are summed first, so no value is
+        read and filters still reach the files.  Columns the engine has no type
+        for (arrays, maps) are left out.  ``check=False`` is for tables known to
+        have no nulls.
         """
         df = self.spark.read.parquet(path)
         known = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        self.add(name, df.select(*known), not_null=not_null)
+        if check and (found := parquet_nulls(self.spark, path, known)):
+            raise NullInputError(f"nulls in {', '.join(found)} of {path}")
+        self.add(name, df.select(*known), not_null=False)
 
     def add_arrow(self, name: str, table: pa.Table) -> None:
         self.tables[name.lower()] = from_arrow(self.spark, table)
@@ -118,7 +185,11 @@ def from_arrow(spark: SparkSession, table: pa.Table) -> tuple[DataFrame, dict[st
 
 
 def to_arrow(df: DataFrame) -> pa.Table:
-    """A result as Arrow data; the instants of timestamps are kept, their zone is not."""
+    """A result as Arrow data; the instants of timestamps are kept, their zone is not.
+
+    The whole result comes to the driver, as an Arrow table is one value: limit
+    or aggregate it first, or write it to files.
+    """
     table = df.toArrow()
     fields = [f if not pa.types.is_timestamp(f.type) else f.with_type(pa.timestamp(f.type.unit)) for f in table.schema]
     return table.cast(pa.schema(fields))

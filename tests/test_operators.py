@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strictframe import types as S
 from strictframe.cli import Database, _schema
+from strictframe.engine import Engine
 from strictframe.errors import DigestError, NullInputError, QueryError, TypeMismatchError
 from strictframe.functions import wide
 from strictframe.functions.digest import Bounds, digest, result_hash
@@ -201,3 +202,15 @@ def test_offsets_from_the_end_are_top_k(spark):
     assert got(R.sliced(R.ordered(df, order), -50, None, order)) == expected
     with pytest.raises(QueryError, match="before the first of 50 rows"):
         R.sliced(R.ordered(df, order), -51, None, order)
+
+
+def test_parquet_nulls_are_found_in_the_footers(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1, "a"), (2, None)], "i int, s string").write.parquet(path)
+    e = Engine(spark)
+    with pytest.raises(NullInputError, match="nulls in s"):
+        e.catalog.add_parquet("t", path)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string").write.mode("overwrite").parquet(path)
+    e.catalog.add_parquet("t", path)
+    assert got(e.sql("select count(s) as n from t where not (i = 1)")) == [(1,)]
