@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -206,7 +208,6 @@ def test_suffix_arrays_of_bytes(text, times):
 
 def token_pieces(rows, capacity):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in rows:
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
@@ -215,6 +216,16 @@ def token_pieces(rows, capacity):
     return want
 
 
+_TOKENS, _LIBRARY = byte_tokens(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["a", " ", "<|endoftext|>", "<|end", "oftext|>", "ſ", "’s", "'S", "\n\n", "\u00a0", "ǅ", "9", "…", "Ⅷ"]), max_size=25).map("".join)))
+def test_byte_ids_are_the_library_s(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert _TOKENS.encode(text).tolist() == _LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, want, capacity):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     held = defaultdict(list)
@@ -242,7 +253,9 @@ def test_packing(docs, none, pairs):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plans_place_every_piece_once(histogram):
-    plan = packing.plan_packing(histogram, 30)
+    program = packing.solve_packing(histogram, 30)
+    plan = program.plan
+    assert program.bound <= program.value + 1e-6 and program.rounded + program.residue == sum(k for _, k in plan)
     used = Counter()
     for pattern, k in plan:
         assert sum(length * copies for length, copies in pattern) <= 30 and k > 0
@@ -257,17 +270,49 @@ def test_plans_place_every_piece_once(histogram):
         seen |= {*zip(s.tolist(), o.tolist())}
 
 
-def test_program_alone_is_near_the_bound():
+def test_program_alone_packs_to_its_bound():
     rng = np.random.default_rng(0)
-    counts = np.bincount(np.minimum(rng.geometric(0.004, 200_000), 2048), minlength=2049)
-    program = packing.configurations(counts, 2048)
-    rest = counts.copy()
-    for pattern, k in program:
-        for length, copies in pattern:
-            rest[length] -= copies * k
-    assert (rest >= 0).all() and program
-    n = sum(k for _, k in program) + sum(k for _, k in packing.best_fit(rest, 2048))
-    assert n <= -(-int((counts * np.arange(2049)).sum()) // 2048) * 1.005 + 1
+    for n, seed_lengths in ((200_000, rng.geometric(0.004, 200_000)), (3_000, rng.geometric(0.002, 3_000)), (5_000, rng.integers(1, 1500, 5_000))):
+        counts = Counter(np.minimum(seed_lengths, 2048).tolist())
+        program = packing.solve_packing(counts)
+        total = sum(k for _, k in program.plan)
+        assert program.gap <= packing.GAP and total == program.rounded + program.residue
+        assert -(-sum(length * k for length, k in counts.items()) // 2048) <= total <= math.ceil(program.bound - 1e-6) + 2
+    # The dual shows what the sum of lengths does not: no two of these share a sequence.
+    apart = packing.solve_packing({1100: 40, 1300: 7})
+    assert apart.bound == pytest.approx(47) and sum(k for _, k in apart.plan) == 47
+
+
+def test_plans_are_least_for_small_histograms():
+    """Against an exact search over all packings of a few pieces."""
+
+    def least(pieces, capacity):
+        pieces = sorted(pieces, reverse=True)
+        best = len(pieces)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(pieces):
+                best = len(rooms)
+                return
+            for r in {r for r in rooms if r >= pieces[i]}:
+                k = rooms.index(r)
+                place(i + 1, [*rooms[:k], r - pieces[i], *rooms[k + 1 :]])
+            place(i + 1, [*rooms, capacity - pieces[i]])
+
+        place(0, [])
+        return best
+
+    rng = np.random.default_rng(5)
+    over = 0
+    for _ in range(60):
+        pieces = rng.integers(1, 20, rng.integers(1, 11)).tolist()
+        found, exact = sum(k for _, k in packing.solve_packing(Counter(pieces), 20).plan), least(pieces, 20)
+        assert exact <= found <= exact + 1
+        over += found - exact
+    assert over <= 6
 
 
 def test_pipeline(spark, docs, none, tmp_path):
