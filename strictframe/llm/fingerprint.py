@@ -12,14 +12,17 @@ fingerprints of unions are sums, and a paragraph is inserted or deleted by
 adding or subtracting its vector.
 
 Defined cases: a null text is the empty text, whose fingerprint is all zeros;
-empty paragraphs don't count; rows of equal id follow each other by text, null
-ids come last; repeated rows are fingerprinted row by row; an empty table gives
-an empty result; other columns are not read.
+empty paragraphs don't count; rows of equal id (ties) follow each other by
+text, null ids come last; a very long text is hashed paragraph
+by paragraph while it and its edited text are held in one task, and its lanes hold
+2^31 copies of a paragraph; repeated rows are fingerprinted row by row; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -98,67 +101,68 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-#: Cells for each partition in the histogram of ids from which the ranges of ids are cut.
-CELLS, MOST_CELLS = 64, 1 << 16
+#: Characters of a text by which rows of one id are parted into ranges.
+PREFIX = 32
 
 
-def _ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[F.Column, list[int], list[int | None]]:
-    """A range number for each row in descending order of id, and each range's greatest id and predecessor.
+class _Key(tuple):
+    """(whether the id is known, id, start of the text), ordered by id upward, nulls first, then by text downward."""
 
-    What reaches the driver is one row a cell, at most ``MOST_CELLS``.
-    """
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    nulls = docs.filter(F.col(id_col).isNull()).limit(1).count()
-    tops: list[int | None] = []
-    if low is None:
-        return F.lit(0), [None], [0]
-    n = min(parts * CELLS, MOST_CELLS, high - low + 1)
-    width = -(-(high - low + 1) // n)
-    cell = F.floor((F.lit(high).cast("decimal(20,0)") - F.col(id_col)) / F.lit(width)).cast("int")
-    rows = sorted(docs.filter(F.col(id_col).isNotNull()).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(id_col).alias("top")).collect())
-    total, seen = sum(r["n"] for r in rows), 0
-    range_of = [0] * n
-    cells = {r["cell"]: r for r in rows}
-    last = -1
-    for c in range(n):
-        if c in cells:
-            k = min(seen * parts // total, parts - 1)
-            if k != last:
-                tops.append(cells[c]["top"])
-                last = k
-            seen += cells[c]["n"]
-        range_of[c] = max(len(tops) - 1, 0)
-    column = F.element_at(F.array(*map(F.lit, range_of)), cell + 1)
-    if nulls:
-        column = F.when(F.col(id_col).isNull(), F.lit(len(tops))).otherwise(column)
-        tops.append(None)
-    return column, tops, [(i - 1) % len(tops) for i in range(len(tops))]
+    def __lt__(self, other: tuple) -> bool:
+        return self[2] > other[2] if self[:2] == other[:2] else self[:2] < other[:2]
+
+    @classmethod
+    def of(cls, known: bool, id_: object, start: str) -> _Key:
+        return cls((True, id_, start) if known else (False, 0, start))
+
+
+def _ranges(docs: DataFrame, id_col: str, text_col: str, parts: int) -> list[tuple[_Key, _Key]]:
+    """Least and greatest key of ranges of about equally many rows, in order; one row a range comes to the driver."""
+    keys = docs.select(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.substring(F.coalesce(text_col, F.lit("")), 1, PREFIX).alias("start"))
+    laid = keys.repartitionByRange(parts, F.col("known").asc(), F.col("id").asc(), F.col("start").desc())
+    # Within a range the least key has the least id and of its texts the greatest; the other way round for the last.
+    ends = laid.groupBy(F.spark_partition_id().alias("p"), "known", "id").agg(F.max("start").alias("first"), F.min("start").alias("last"))
+    found = ends.groupBy("p").agg(F.min(F.struct("known", "id", "first")).alias("lo"), F.max(F.struct("known", "id", "last")).alias("hi")).collect()
+    return sorted(((_Key.of(*r["lo"]), _Key.of(*r["hi"])) for r in found), key=lambda r: r[0])
+
+
+def _place(ranges: list[tuple[_Key, _Key]]):
+    """For keys, twice the number of their range, plus 1 for the last of it: an Arrow function."""
+    starts, lasts = [lo for lo, _ in ranges[1:]], {tuple(hi) for _, hi in ranges}
+
+    @F.arrow_udf("long")
+    def place(known: pa.Array, ids: pa.Array, texts: pa.Array) -> pa.Array:
+        keys = map(_Key.of, known.to_pylist(), ids.to_pylist(), texts.to_pylist())
+        return pa.array([2 * bisect_right(starts, k) + (tuple(k) in lasts) for k in keys], pa.int64())
+
+    return place
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each row's text and its edited text, and compare it with both the edited and the next one.
 
-    The next row is the one of the next lower id, cyclically.  Rows are
-    shuffled once to ranges of ids and streamed in order; each range also gets
-    the first row of the range after it, so no range sees more than its rows.
+    The next row is the one before it in ascending order of ids (of any type
+    that has an order), cyclically.  Rows are shuffled once to ranges of about equally
+    many rows and streamed in order; each range also gets the last row of the
+    range before it, so no task sees more than its rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = docs.select(id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number, tops, before = _ranges(docs, id_col, parts)
-    places = F.array(F.struct(number.alias("range"), F.lit(False).alias("edge")))
-    known = [t for t in tops if t is not None]
-    is_top = F.col(id_col).isin(known) if known else F.lit(False)
-    if None in tops:
-        is_top = F.coalesce(is_top, F.lit(False)) | F.col(id_col).isNull()
-    previous = F.element_at(F.array(*map(F.lit, before)), number + 1)
-    places = F.when(is_top, F.concat(places, F.array(F.struct(previous.alias("range"), F.lit(True).alias("edge"))))).otherwise(places)
-    spread = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.explode(places).alias("__place"))
+    ranges = _ranges(docs, id_col, text_col, parts)
+    n = max(len(ranges), 1)
+    keyed = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.substring(F.coalesce(text_col, F.lit("")), 1, PREFIX).alias("__start"))
+    keyed = keyed.withColumn("__at", _place(ranges)(F.col(id_col).isNotNull(), F.col(id_col), F.col("__start")))
+    number = F.shiftright("__at", 1)
+    own = F.struct(number.alias("range"), F.lit(False).alias("edge"))
+    after = F.struct(F.pmod(number + 1, F.lit(n).cast("long")).alias("range"), F.lit(True).alias("edge"))
+    places = F.when(F.col("__at").bitwiseAND(F.lit(1)) == 1, F.array(own, after)).otherwise(F.array(own))
     ordered = (
-        spread.select(id_col, "__text", "__place.range", "__place.edge")
-        .repartitionById(len(tops), F.col("range"))
-        .sortWithinPartitions("range", "edge", F.col(id_col).desc_nulls_last(), F.col("__text").asc_nulls_first())
+        keyed.select(id_col, "__text", F.explode(places).alias("__place"))
+        .select(id_col, "__text", F.col("__place.range").cast("int").alias("__range"), F.col("__place.edge").alias("__edge"))
+        .repartitionById(n, F.col("__range"))
+        .sortWithinPartitions("__range", F.col("__edge").desc(), F.col(id_col).asc_nulls_first(), F.col("__text").desc_nulls_last())
     )
     made = [T.StructField("n_chars", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
     made += [T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]
@@ -166,18 +170,18 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     arrow = to_arrow_schema(T.StructType(made))
 
     def run(batches):
-        pending = None  # the row whose next row has not come yet
+        pending = None  # the row before, which is the next one of the row to come
         for batch in batches:
             for part in slices(batch, "__text"):
                 rows = pa.Table.from_batches([part] if pending is None else [pending, part]).combine_chunks().to_batches()[0]
                 pending = rows.slice(rows.num_rows - 1)
                 texts = ["" if t is None else t for t in rows.column(1).to_pylist()]
                 ranges, edges = np.asarray(rows.column(2)), np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
-                now = np.flatnonzero(~edges[:-1] & (ranges[:-1] == ranges[1:]))
+                now = np.flatnonzero(~edges[1:] & (ranges[:-1] == ranges[1:])) + 1
                 if not len(now):
                     continue
                 prints = Fingerprints.of(texts)
-                edited = [edit(texts[i], texts[i + 1]) for i in now]
+                edited = [edit(texts[i], texts[i - 1]) for i in now]
                 changed = Fingerprints.of(edited)
                 own = prints.take(now)
                 values = {
@@ -186,7 +190,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     "fingerprint": own.hex(),
                     "edited_fingerprint": changed.hex(),
                     "near_edited": own.likeness(changed),
-                    "near_next": own.likeness(prints.take(now + 1)),
+                    "near_next": own.likeness(prints.take(now - 1)),
                 }
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(now)), *(pa.array(values[f.name], f.type) for f in arrow)], [id_col, *arrow.names])
 

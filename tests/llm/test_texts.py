@@ -1,25 +1,31 @@
 """Map operators against brute force: sentencepiece, licences, quality, secrets, fingerprints, token rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter
+from datetime import date, timedelta
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strictframe.llm import binary, quality, secrets
+from strictframe.llm import binary, fingerprint, quality, secrets
 from strictframe.llm.fingerprint import Fingerprints, edit, fingerprint_pairs, paragraphs
 from strictframe.llm.licenses import TEMPLATES, license_sql, normal_words, scan_licenses
 from strictframe.llm.pieces import Pieces, encode_pieces, piece_digests
 from strictframe.llm.queries import byte_tokens
 from strictframe.llm.tokens import cut
 
+from .conftest import prose
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -234,6 +240,58 @@ def test_fingerprints(spark, docs, none, pairs):
     assert {r.doc_id: r.edited_sha256 for r in fingerprint_pairs(sparse).collect()} == want
 
 
+def brute_fingerprint(text):
+    """The two sums of a text, lane by lane in plain integers."""
+    lines = [p for p in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n") if p]
+    wide, signed = [0] * 8, [0] * 128
+    for p in map(str.encode, lines):
+        digest, bits = hashlib.blake2b(p).digest(), int.from_bytes(xxhash.xxh3_128_digest(p), "big")
+        wide = [(w + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % 2**64 for k, w in enumerate(wide)]
+        signed = [v + (1 if bits >> (127 - k) & 1 else -1) for k, v in enumerate(signed)]
+    return wide, signed
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    norm = math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1]))
+    return min(max(sum(x * y for x, y in zip(a[1], b[1])) / norm, 0.0), 1.0) if norm else 0.0
+
+
+def as_hex(f):
+    return b"".join(w.to_bytes(8, "little") for w in f[0]).hex() + b"".join((v % 2**32).to_bytes(4, "little") for v in f[1]).hex()
+
+
+@pytest.mark.parametrize("ids", ["long", "outlier", "string", "date"])
+def test_fingerprints_and_likeness_by_brute_force(spark, ids):
+    """Every column, with ids of several types, one far outlier and a line that stands 100,000 times."""
+    texts = [prose(900 + k, 40 + 7 * k) for k in range(30)] + ["", "one line only", "x\n" * 100_000, "x\n" * 40_000, prose(931, 50) + ". " + prose(932, 50)]
+    make = {"long": lambda k: k * 3, "outlier": lambda k: 1 << 61 if k == 7 else k, "string": lambda k: f"id {k:03d} é", "date": lambda k: date(2020, 1, 1) + timedelta(k)}[ids]
+    kind = "date" if ids == "date" else "string" if ids == "string" else "long"
+    rows = [(make(k), t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprint_pairs(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)).collect()}
+    order = sorted(rows, reverse=True)
+    assert len(got) == len(rows)
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        edited = edit(text, after)
+        own, changed, following = map(brute_fingerprint, (text, edited, after))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), sha(edited), as_hex(own), as_hex(changed))
+        assert r.near_edited == pytest.approx(brute_likeness(own, changed)) and r.near_next == pytest.approx(brute_likeness(own, following))
+
+
+def test_fingerprint_ranges_hold_equal_shares(spark):
+    """An outlier or an id that a third of the rows have leaves no range with most rows."""
+    far = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).unionAll(spark.createDataFrame([(1 << 61, "far")], "doc_id long, text string"))
+    hot = far.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 5).otherwise(F.col("doc_id")))
+    for df in (far, hot):
+        ranges = fingerprint._ranges(df, "doc_id", "text", 8)
+        place = fingerprint._place(ranges)(F.lit(True), F.col("doc_id"), F.col("text"))
+        sizes = [r["count"] for r in df.groupBy(F.shiftright(place, 1).alias("r")).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1200
+        assert fingerprint_pairs(df).count() == 4001
+
+
 def test_token_rows(docs, none, pairs, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
