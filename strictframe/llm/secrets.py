@@ -9,8 +9,10 @@ copied in a list of their own, all others, with the flag of looking live, in the
 main one.
 
 Defined cases: a null text is the empty text; a null repository counts as one
-of its own; repeated rows are reported row by row; an empty table gives an
-empty result; other columns are not read.
+of its own; a very long text is scanned whole in one task, in time that grows
+with its length; matches that start together (ties) are listed by kind; repeated
+rows are reported row by row; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_texts, texts_of
+from .common import checkpointed, map_texts, slices, texts_of
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Further kinds, in the order in which they are listed after the base kinds.
@@ -43,7 +47,8 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+#: A token starts a run of its characters, so a long run is tried once.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _VENDOR = re.compile(r"(?:ghp_|gho_|github_pat_|sk_live_|rk_live_|xox[abpr]-|glpat-|AIza)[A-Za-z0-9_-]{16,}")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 
@@ -72,27 +77,41 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def more_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Candidates of the further kinds that no earlier match overlaps."""
-    taken = [(s, e) for s, e, _, _ in base]
+    """Candidates of the further kinds that no earlier match overlaps; linear in the matches of a kind."""
+    taken = _joined((s, e) for s, e, _, _ in base)
     out = []
 
-    def add(kind: int, m: re.Match) -> None:
-        if all(m.end() <= s or e <= m.start() for s, e in taken):
-            taken.append(m.span())
-            out.append((m.start(), m.end(), kind, m[0]))
+    def add(kind: int, matches: Iterator[re.Match]) -> None:
+        # Both sides are sorted and disjoint, so one pass over both finds the free matches.
+        nonlocal taken
+        free, i = [], 0
+        for m in matches:
+            start, end = m.span()
+            while i < len(taken) and taken[i][1] <= start:
+                i += 1
+            if i == len(taken) or end <= taken[i][0]:
+                free.append((start, end))
+                out.append((start, end, kind, m[0]))
+        taken = list(merge(taken, free))
 
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            add(3, m)
+        add(3, _PEM.finditer(text))
     if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            add(4, m)
-    for m in _VENDOR.finditer(text):
-        add(5, m)
-    for m in _OPAQUE.finditer(text):
-        if _opaque(m[0]):
-            add(6, m)
+        add(4, _JWT.finditer(text))
+    add(5, _VENDOR.finditer(text))
+    add(6, (m for m in _OPAQUE.finditer(text) if _opaque(m[0])))
     return out
 
 
@@ -117,14 +136,20 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
 
 def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """``hash``, distinct ``owners`` and ``repositories`` over the corpus.
+    """``hash``, its ``rows``, distinct ``owners`` and ``repositories`` over the corpus.
 
     Distinct (hash, owner, repository) rows combine before the shuffle, so a
     value that a third of all rows hold moves once a task and repository.
     """
-    each = found.select(F.explode("found.hash").alias("hash"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository")).distinct()
-    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    each = found.select(F.explode("found.hash").alias("hash"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"))
+    each = each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("rows"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("hash").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+
+
+#: Matches of one value from which its verdict is broadcast instead of joined by
+#: a shuffle on the value; there are at most (all matches / HOT_ROWS) of them.
+HOT_ROWS = 100_000
 
 
 def scan_secrets(
@@ -147,14 +172,20 @@ def scan_secrets(
     carried = [id_col, *(keep or [])]
     found = checkpointed(candidates(docs, list(dict.fromkeys([*carried, repository_col])), text_col).withColumn("__row", F.monotonically_increasing_id()))
     repository = F.col(repository_col).cast("string")
-    counts = ownership(found.filter(F.size("found") > 0), repository, F.substring_index(repository, "/", 1))
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     wide = (F.col("owners") > wide_owners) | (F.col("repositories") > wide_repositories)
+    some = found.filter(F.size("found") > 0)
+    verdicts = checkpointed(ownership(some, repository, F.substring_index(repository, "/", 1)).select(F.col("hash").alias("__hash"), "rows", live.alias("live"), wide.alias("wide")))
+    spans_ = some.select("__row", F.explode("found").alias("s"))
+    hot = verdicts.filter(F.col("rows") > HOT_ROWS).drop("rows")
+    rare = verdicts.drop("rows")
+    if hot.isEmpty():
+        ruled = spans_.join(rare, F.col("s.hash") == F.col("__hash"))
+    else:
+        both = spans_.join(F.broadcast(hot), F.col("s.hash") == F.col("__hash"), "left")
+        ruled = both.filter(F.col("__hash").isNotNull()).unionByName(both.filter(F.col("__hash").isNull()).select("__row", "s").join(rare, F.col("s.hash") == F.col("__hash")))
     judged = (
-        found.filter(F.size("found") > 0)
-        .select("__row", F.explode("found").alias("s"))
-        .join(counts.withColumnRenamed("hash", "__hash"), F.col("s.hash") == F.col("__hash"))
-        .select("__row", "s", live.alias("live"), (wide & (F.col("s.kind") >= len(BASE_KINDS))).alias("copied"))
+        ruled.select("__row", "s", "live", (F.col("wide") & (F.col("s.kind") >= len(BASE_KINDS))).alias("copied"))
         .groupBy("__row")
         .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live", "copied"))).alias("judged"))
     )
@@ -198,18 +229,26 @@ def redact(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col
     structured = F.filter("copied", lambda s: s["kind"].isin(*STRUCTURED_KINDS))
     found = found.withColumn("found", F.sort_array(F.concat("found", structured))).filter(F.size("found") > 0)
     found = found.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__key"), F.col("found").alias("__found")).dropDuplicates(["__id", "__key"])
-    # Overlapping spans merge: text before each span that starts beyond all earlier ends, then the mark.
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = (s["start"] >= acc["at"]) | (acc["at"] == 0)
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
-
-    cut = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
-    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(cut)
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__key"]), "left")
-    return joined.select(*(text.alias(c) if c == text_col else keyed[c] for c in columns))
+    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__key"]), "left").select(*(keyed[c] for c in dict.fromkeys([*columns, text_col])), "__found")
+    kept = [c for c in columns if c != text_col]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts = part.column(text_col).to_pylist()
+                for i, spans in enumerate(part.column("__found").to_pylist()):
+                    if spans:
+                        texts[i] = without_spans(texts[i], ((s["start"], s["end"]) for s in spans), mark)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text_col])
+
+    out = joined.mapInArrow(run, T.StructType([*(joined.schema[c] for c in kept), joined.schema[text_col]]))
+    return out.select(*columns)
+
+
+def without_spans(text: str, spans: Iterable[tuple[int, int]], mark: str) -> str:
+    """A text with sorted spans, joined where they overlap, replaced by ``mark``; one pass."""
+    out, at = [], 0
+    for start, end in _joined(spans):
+        out += [text[at:start], mark]
+        at = end
+    return "".join([*out, text[at:]])
