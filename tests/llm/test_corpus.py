@@ -1,5 +1,6 @@
 """Corpus operators against brute force: near-dedup, repeats, packing, and the pipeline."""
 
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strictframe.llm import neardup, packing, quality, repeats, secrets
+from strictframe.llm import nearest, neardup, packing, quality, repeats, secrets
 from strictframe.llm.components import components
 from strictframe.llm.nearest import BLOCK, Recursion, links
 from strictframe.llm.queries import byte_tokens
@@ -339,3 +340,66 @@ def test_pipeline(spark, docs, none, tmp_path):
     check_packing(frames[5].collect(), token_pieces([(r[0], r[1]) for r in rows[4]], packing.CAPACITY), packing.CAPACITY)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+@pytest.mark.parametrize("small,levels,runs", [(12, 2, 1), (5, 2, 3), (3, 3, 2)])
+def test_deep_recursions_and_runs_end_to_end(spark, monkeypatch, small, levels, runs):
+    """Two and three levels and several runs, over texts and not over fingerprints alone, find the same classes."""
+    plan = Recursion.plan
+
+    def deep(n, distance, recall):
+        made = plan(n, distance, recall, small=small)
+        while made.levels < levels:
+            n *= 2
+            made = plan(n, distance, recall, small=small)
+        planned.append(made)
+        return made
+
+    planned = []
+    monkeypatch.setattr(Recursion, "plan", deep)
+    monkeypatch.setattr(Recursion, "runs", lambda self: [dataclasses.replace(self, branches=-(-self.branches // runs), below=self.below or self.branches, seed=7 + k) for k in range(runs)])
+    texts = [t for g in range(25) for t in variants(1000 + g, 2 + g % 5, 1 + g % 6)] + variants(5000, 60, 2) + [prose(9000 + i, 120) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()} == dict(enumerate(classes(texts)))
+    assert planned[0].levels >= levels
+
+
+def test_runs_share_a_plan():
+    design, _ = neardup.distances()
+    for n in (15_000_000, 1_000_000_000):
+        plan = Recursion.plan(n, design, 0.9999)
+        runs = plan.runs()
+        lost = math.prod(1 - r.recall(design) for r in runs)
+        assert len(runs) > 1 and len({r.seed for r in runs}) == len(runs) and 1 - lost >= 0.9999
+    assert len(Recursion.plan(200_000, design, 0.9999).runs()) == 1
+
+
+def test_thinned_tiles_keep_what_hangs_together(monkeypatch):
+    """Two dense clumps joined by one pair each way: thinning keeps every component of the near pairs."""
+    monkeypatch.setattr(nearest, "DENSE", 4)
+    rng = np.random.default_rng(9)
+    for seed in range(6):
+        base = rng.integers(0, 1 << 63, (3, 3), dtype=np.uint64)
+        base[1] = base[0]
+        base[1, 0] ^= np.uint64((1 << 24) - 1)  # 24 bits from the first
+        prints = np.repeat(base, (90, 90, 20), axis=0)
+        flips = rng.random((200, 192)) < 0.02
+        prints = prints ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+        for most in (10, 16, 20, 26):
+            d = nearest._distances(prints, prints) <= most
+            reach = d | np.eye(200, dtype=bool)
+            for _ in range(9):
+                reach = (reach.astype(np.int64) @ reach.astype(np.int64)) > 0
+            up = list(range(200))
+
+            def find(i):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            for x, y in links(prints, most, 3):
+                assert d[x, y].all()
+                for i, j in zip(x.tolist(), y.tolist()):
+                    a, b = find(i), find(j)
+                    up[max(a, b)] = min(a, b)
+            assert [find(i) for i in range(200)] == reach.argmax(axis=1).tolist()
