@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strictframe.llm import nearest, neardup, packing, quality, repeats, secrets
+from strictframe.llm import components as component_steps
 from strictframe.llm.components import components
 from strictframe.llm.nearest import BLOCK, Recursion, links
 from strictframe.llm.queries import byte_tokens
@@ -156,7 +157,9 @@ def test_links_join_a_long_list():
     assert len({find(i) for i in range(len(near))}) == 1 and n <= 40 * len(near)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(component_steps, "TASK_EDGES", most)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200)] + [(500, 500 + i) for i in range(1, 40)]
     df = spark.createDataFrame(edges, "u long, v long")
     got = {r.u: r.v for r in components(df).collect()}
@@ -164,6 +167,17 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 30), st.integers(-9, 30)), max_size=40))
+def test_components_in_a_task(edges):
+    node, root = component_steps._least(*(np.array([e[k] for e in edges], np.int64) for k in (0, 1)))
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert dict(zip(node.tolist(), root.tolist())) == least
+
+
 def brute_repeats(texts, length):
     """Removed ranges of each text, over all windows."""
     data = [t.encode() for t in texts]
