@@ -7,6 +7,7 @@ import re
 import string
 import subprocess
 import sys
+import textwrap
 import time
 from collections import Counter
 from datetime import date, timedelta
@@ -18,7 +19,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -82,6 +83,47 @@ def test_every_template_matches_itself(spark):
         assert TEMPLATES[r.doc_id][0] in r.licenses.split(",")
 
 
+def notice(name, least=100):
+    return next(t for n, t in TEMPLATES if n == name and len(t) > least)
+
+
+def commented(text, lead, width=70):
+    return "\n".join(lead + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_licenses_wrapped_commented_and_inside_sentences(spark):
+    """Each form in which notices stand in files, alone and among other text; the best licence of a place is listed alone."""
+    before, after = "import os\nvalue = compute(river, stone) + 7\n", "\ndef walk(path):\n    return path.lower()\n"
+    texts = [
+        ("GPL-3.0", commented(notice("GPL-3.0", 150), "# ")), ("GPL-2.0", commented(notice("GPL-2.0", 150), " * ")), ("MIT", "# Copyright (c) 2020 A\n#\n" + commented(notice("MIT", 900), "// ")),
+        ("Apache-2.0", "Copyright 2019 The Example Authors, licensed under the Apache License, Version 2.0."), ("CC-BY-4.0", "This package is licensed under CC BY 4.0."),
+        ("Apache-2.0", "one line\nLicensed under the Apache License,\nVersion 2.0.\nanother"), ("BSD-3-Clause", commented(notice("BSD-3-Clause", 900), "; ", 50)), ("BSD-2-Clause", notice("BSD-2-Clause", 900).replace("COPYRIGHT HOLDER", "REGENTS")),
+        ("ISC", notice("ISC", 400).upper()), ("Zlib", commented(notice("Zlib", 300), "   ")), ("Unlicense", notice("Unlicense", 200)), ("Apache-2.0", commented(notice("Apache-2.0", 300), "-- ")),
+    ]
+    rows = [(k, t) for k, (_, t) in enumerate(texts)] + [(100 + k, before + t + after) for k, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, _) in enumerate(texts):
+        for r in (got[k], got[100 + k]):
+            assert (r.license, r.licenses) == (name, name) and r.n_matches >= 1, (name, r)
+
+
+def test_licenses_of_a_long_list_take_linear_time(spark):
+    text = "\n".join(f"file {k}: released under the MIT License. All rights reserved." for k in range(6_000))
+    began = time.perf_counter()
+    r = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_matches, r.licenses) == (12_000, "MIT,Proprietary") and time.perf_counter() - began < 60
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["# ", "\n", "and", "the License", "version 3", "MIT", "software"]), st.sampled_from([t for _, t in TEMPLATES]).flatmap(lambda t: st.tuples(st.integers(0, 20), st.integers(5, 200)).map(lambda x: " ".join(t.split()[x[0] : x[1]])))), max_size=6), min_size=10, max_size=30))
+def test_licenses_and_their_sql_agree(spark, parts):
+    df = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(parts)], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = Counter((r[0], r[1], r[2], r[3], r[4]) for r in con.sql(license_sql()).fetchall())
+    assert Counter((r.doc_id, r.n_matches, r.license, r.dice, r.licenses) for r in scan_licenses(df).collect()) == want
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     n = len(words)
