@@ -15,6 +15,7 @@ from strictframe.llm.quality import quality_rules
 from strictframe.llm.queries import byte_tokens
 from strictframe.llm.repeats import without_repeats
 from strictframe.llm.secrets import redact
+from strictframe.session import scratch_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,8 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
+    """All stages over the whole of ``documents``.
+
+    Each stage but the last is written once in the shared folder and read by the
+    next, which uses its input several times; so no stage runs twice, and a lost
+    executor costs the tasks of one stage.
+    """
+    folder = scratch_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

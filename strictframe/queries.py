@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,8 +16,7 @@ from .functions import wide
 from .functions.digest import bounds, column_digests, digest, result_hash
 from .operators import relational as R
 from .plans.parser import table_names
-from .session import configure, shared_folder
-from .sources import files
+from .session import configure, scratch_folder
 from .sources.catalog import append_csv, from_arrow, random_table, read_csv, to_arrow
 from .streaming.append import append_stream, current_digests, digests, table
 
@@ -286,7 +283,7 @@ def strict_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_frame("sql09_database", "select c_custkey, c_name from customer where c_custkey > 40 and c_nationkey = 3")
 def database(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV database: create, append in two parts, query."""
-    folder = _shared(spark)
+    folder = scratch_folder(spark)
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("bigint").alias("c_nationkey"))
     db = Database(spark, f"{folder}/db")
     db.create("customer", "c_custkey bigint, c_name varchar, c_nationkey bigint")
@@ -308,7 +305,7 @@ def arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_frame("sql06_csv", f"select c_custkey, c_name, {_D.format('c_acctbal')} as c_acctbal from customer")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = os.path.join(_shared(spark), "csv")
+    folder = os.path.join(scratch_folder(spark), "csv")
     append_csv(_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), folder)
     return read_csv(spark, folder)
 
@@ -345,7 +342,7 @@ def wide_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_frame("sql_stream_append", "select event_id, user_id, event_type from events")
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _shared(spark)
+    folder = scratch_folder(spark)
     schema = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
     append_stream(stream, f"{folder}/table", f"{folder}/state").awaitTermination()
@@ -355,20 +352,6 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder where all executors write, removed when this process ends."""
-    folder = f"{shared_folder(spark)}/strictframe-{os.urandom(6).hex()}"
-    atexit.register(_forget, spark, folder)
-    return folder
-
-
-def _forget(spark: SparkSession, folder: str) -> None:
-    try:
-        files.remove(spark, folder)
-    except Exception:  # noqa: BLE001  the session may have ended before; its shared folder goes with the cluster
-        pass
-
-
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     text, params, _ = _SQL[name]
     return _engine(spark, sf_dir, text).sql(text, *params)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -58,3 +59,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder within the shared one, for tables that are written and read again; removed when this process ends."""
+    folder = f"{shared_folder(spark)}/strictframe-{os.urandom(6).hex()}"
+    atexit.register(_forget, spark, folder)
+    return folder
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may have ended before; its shared folder goes with the cluster
+        pass

@@ -43,8 +43,3 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, at = _at(spark, path)
-    fs.delete(at, True)
