@@ -3,15 +3,17 @@
 Each task reads its documents, cuts the ids of overlong ones into pieces
 without loss and packs the pieces it has gathered, at most ``BATCH_TOKENS`` ids
 at a time, so memory is bounded and nothing is shuffled; a partly filled row
-remains for each such batch at most, besides what best fit leaves.
+remains for each such batch at most, besides what best fit leaves.  Packing a
+batch is exact in what it stores, whatever its size: no id is lost or repeated.
 
 A row of the output is one packed sequence: ``ids`` (padded to the capacity)
 and ``positions`` are little-endian unsigned 16- or 32-bit matrices' rows,
 ``cu_seqlens`` the cumulative segment lengths from 0, ``resets`` the offsets at
 which positions start again from 0.
 
-Defined cases: a null text is the empty text, which gives the end id alone;
-repeated rows and null ids are packed as documents of their own; an empty table
+Defined cases: a null text is the empty text, which gives the end id alone; a
+very long text is cut into rows without loss, while its ids are held in one task;
+of pieces of equal length (ties) the earlier one is packed first; repeated rows and null ids are packed as documents of their own; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -144,8 +146,20 @@ def token_rows(
     return docs.mapInArrow(run, out)
 
 
+def written(rows: DataFrame, folder: str) -> DataFrame:
+    """The packed rows, written as Parquet through Hadoop's file systems (any store the cluster has) and read back.
+
+    A row of the files is a row of the matrices.  Spark commits tasks one by
+    one, so a task that runs again leaves no second copy.
+    """
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def write_rows(rows: DataFrame, folder: str) -> DataFrame:
-    """Write the packed rows of each task as raw matrices in a folder all executors share.
+    """Write the packed rows of each task as raw matrices in a folder that is mounted on all executors.
+
+    Use ``written`` where the shared folder is no mounted one.
 
     For each task: ``ids-P.bin`` (rows of ids one after another), ``cu-P.bin``
     (int32, the cumulative lengths of the rows joined) and ``pos-P.bin``.  Files

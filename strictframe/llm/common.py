@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import checkpointed as checkpointed
+
 #: Text bytes that one call of a batch function sees at most (a longer text comes alone).
 SLICE_BYTES = 4 << 20
 
@@ -82,19 +82,5 @@ def bool_field(name: str) -> T.StructField:
     return T.StructField(name, T.BooleanType())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small intermediate in the folder all executors share.
-
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
-    unset, as in tests on one machine, a temporary folder takes its place.
-    """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "strictframe-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .binary import token_rows
+from ..session import scratch_folder
+
+from .binary import token_rows, written
 from .chat import chat_digests
 from .common import documents
 from .fingerprint import fingerprint_pairs
@@ -76,7 +78,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rows(documents(spark, sf_dir), byte_tokens)
+    return written(token_rows(documents(spark, sf_dir), byte_tokens), scratch_folder(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,8 +22,10 @@ A place names its document by 80 bits of hashes of id and text, so identical
 rows share spans (each of them has a copy, so they agree), and lost executors
 recompute the same names.
 
-Defined cases: a null text is the empty text; repeated rows are copies of each
-other; null ids are kept; texts shorter than ``length`` lose nothing; an empty
+Defined cases: a null text is the empty text; a text may have up to 2^34 bytes
+(16 GB), more than a row can hold, and is cut into stretches in one task; repeated
+rows are copies of each other, as are ties (equal texts under several ids); null
+ids are kept; texts shorter than ``length`` lose nothing; an empty
 table gives an empty result; other columns are not read.
 """
 
