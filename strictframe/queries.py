@@ -305,7 +305,7 @@ def arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_frame("sql06_csv", f"select c_custkey, c_name, {_D.format('c_acctbal')} as c_acctbal from customer")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = os.path.join(scratch_folder(spark), "csv")
+    folder = f"{scratch_folder(spark)}/csv"
     append_csv(_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), folder)
     return read_csv(spark, folder)
 
