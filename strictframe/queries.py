@@ -273,6 +273,13 @@ def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, c, k, e.catalog.offset(t)) for t in e.catalog.tables for k, c in enumerate(e.catalog.columns(t))], "name string, column_name string, place int, first_row int")
 
 
+@_frame("sql39_display_names", """select o_orderstatus, cast(sum(o_custkey) as bigint) as "SUM(orders.o_custkey)", count(*) as "COUNT(Int64(1))", cast(sum(o_custkey) * 2 as bigint) as "SUM(orders.o_custkey) * Int64(2)" from orders group by o_orderstatus""")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, sorted_groups=False, display_names=True)
+    e.catalog.add_parquet("orders", f"{sf_dir}/orders.parquet")
+    return e.sql("select o_orderstatus, sum(o_custkey), count(*), sum(o_custkey) * 2 from orders group by o_orderstatus")
+
+
 @_frame("sql57_strict_empty", "select count(*) as n, cast(sum(l_linenumber) as int) as s from lineitem where l_linenumber > 100 having count(*) > 0")
 def strict_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, strict_empty=True)

@@ -223,3 +223,10 @@ def test_results_do_not_depend_on_partitions(spark, e):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+def test_display_names(spark):
+    e = Engine(spark, display_names=True)
+    e.catalog.add("cats", spark.createDataFrame([(1, "a", True)], "weight long, name string, old boolean"))
+    assert e.sql("select weight, weight + 1, not old, name = 'x', sum(weight) from cats where false group by weight, name, old").columns == ["weight", "cats.weight + Int64(1)", "NOT cats.old", 'cats.name = Utf8("x")', "SUM(cats.weight)"]
+    assert e.sql("select count(*), max(c.weight) as m from cats c").columns == ["COUNT(Int64(1))", "m"]
