@@ -404,7 +404,6 @@ def test_fingerprint_ranges_hold_equal_shares(spark):
 
 def test_token_rows(docs, none, pairs, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = binary.token_rows(docs, byte_tokens, capacity=128)
     want = Counter()
     for i, text in pairs:
