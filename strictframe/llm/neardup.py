@@ -19,11 +19,12 @@ bits, which two unrelated fingerprints keep with a chance of 5e-12: unrelated
 texts don't chain into groups before there are about 10^11 of them.
 
 Limits that bound a task's memory, and what makes up for them: a list of more
-than ``HOT_LIST`` rows is cut into blocks, in each list by other hashes, and of a
-dense list only a forest and the nearest ones are noted.  Neither parts rows that
-hang together by near pairs within a block, and a group is then searched
-completely (``settled``), so a link is lost only if its two nodes share a block
-of no list and no chain of near ones joins them.  README has measured figures.
+than ``HOT_LIST`` rows is cut into blocks, in each list by other hashes, and what
+its blocks leave apart meets block by block (``_meetings``); of a dense list only
+a forest and the nearest ones are noted.  Neither parts rows that hang together
+by near pairs of a list, and a group is then searched completely (``settled``),
+so a link is lost only if its two nodes share no list and no chain of near ones
+joins them.  README has measured figures.
 
 Defined cases: a null text is the empty text; texts without words are copies of
 each other; a very long text is shingled whole, in one task; ties don't arise, as
@@ -174,6 +175,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(run, T.StructType([docs.schema[id_col], docs.schema["__text"], *_NODE]))
 
 
+def _runs(batches, keys: tuple[str, ...], columns: tuple[str, ...]):
+    """The rows of each run of equal keys, which may go over several batches, as an array of ``columns``."""
+    names, rest = np.zeros((0, len(keys)), np.int64), np.zeros((0, len(columns)), np.int64)
+    for batch in batches:
+        names = np.concatenate([names, np.stack([np.asarray(batch.column(c)) for c in keys], axis=1)])
+        rest = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in columns], axis=1)])
+        cuts = np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], cuts):
+            yield rest[a:b]
+        if len(cuts):
+            names, rest = names[cuts[-1] :], rest[cuts[-1] :]
+    if len(rest):
+        yield rest
+
+
+def _noted(nodes: np.ndarray, found):
+    """Links between rows as pairs of nodes (u < v)."""
+    for x, y in found:
+        a, b = nodes[x], nodes[y]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
+def _labels(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with the least node of their component."""
+    found = components(edges).select(F.col("u").alias("node"), F.col("v").alias("__root"))
+    return nodes.join(found, "node", "left").withColumn(name, F.coalesce("__root", "node")).drop("__root")
+
+
+def _meetings(rows: DataFrame, of: str, block: int, least: int = 0) -> DataFrame:
+    """``rows`` (with ``of``, ``node`` and a class ``c``) spread over pairs of blocks ``i`` <= ``j`` in which each two rows of an ``of`` meet.
+
+    The greatest class of an ``of``, if it has more than ``least`` rows, needs no
+    pairs of its own: only the blocks of the ``lesser`` ones meet, each other and
+    those of the greatest, so work follows the lesser classes' share.  ``b`` is a
+    row's own block; ``j`` always is one of lesser rows.
+    """
+    sizes = rows.groupBy(of, "c").agg(F.count(F.lit(1)).alias("k")).groupBy(of).agg(F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("most"))
+    sizes = sizes.select(of, "n", F.when(F.col("most.k") > least, F.col("most.k")).otherwise(0).alias("k"), F.when(F.col("most.k") > least, F.col("most.c")).alias("great"))
+    in_blocks = lambda n: F.ceil(n / F.lit(block))
+    sizes = sizes.filter("n > k").select(of, "great", in_blocks(F.col("k")).alias("first"), in_blocks(F.col("n") - F.col("k")).alias("more"))
+    key = F.xxhash64("node")
+    spread = rows.join(sizes, of).withColumn("lesser", ~F.col("c").eqNullSafe(F.col("great")))
+    spread = spread.withColumn("b", F.when(F.col("lesser"), F.col("first") + F.pmod(key, F.col("more"))).otherwise(F.pmod(key, F.col("first"))))
+    spread = spread.withColumn("o", F.explode(F.sequence(F.when(F.col("lesser"), F.lit(0).cast("long")).otherwise(F.col("first")), F.col("first") + F.col("more") - 1)))
+    return spread.select(*rows.columns, "lesser", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+
 def candidates(nodes: DataFrame, plan: Recursion, most: int) -> DataFrame:
     """Distinct pairs of nodes (u < v) whose fingerprints are near, from the lists of one run of the recursion."""
 
@@ -194,23 +242,16 @@ def candidates(nodes: DataFrame, plan: Recursion, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(name), *(pa.array(c[rows]) for c in cols)], ["list", "node", *PRINT])
 
     def search(batches):
-        names, rest = np.zeros((0, 2), np.int64), np.zeros((0, 1 + len(PRINT)), np.int64)
+        for rows in _runs(batches, ("list", "block"), ("node", *PRINT)):
+            yield from _noted(rows[:, 0], links(rows[:, 1:].copy().view(np.uint64), most))
 
-        def pairs(values: np.ndarray):
-            for x, y in links(values[:, 1:].copy().view(np.uint64), most):
-                a, b = values[x, 0], values[y, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
-
-        for batch in batches:
-            names = np.concatenate([names, np.stack([np.asarray(batch.column(c)) for c in ("list", "block")], axis=1)])
-            rest = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in ("node", *PRINT)], axis=1)])
-            cuts = np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], cuts):
-                yield from pairs(rest[a:b])
-            if len(cuts):
-                names, rest = names[cuts[-1] :], rest[cuts[-1] :]
-        if len(rest):
-            yield from pairs(rest)
+    def meet(batches):
+        for rows in _runs(batches, ("list", "i", "j"), ("side", "node", *PRINT)):
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            head = int((rows[:, 0] == 0).sum())
+            if head:
+                alone = head == len(rows)
+                yield from _noted(rows[:, 1], links(rows[:, 2:].copy().view(np.uint64), most, head=0 if alone else head, joined=rows[-1, 0] == 2))
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.select("node", *PRINT).repartition(parts, "node")
@@ -222,9 +263,22 @@ def candidates(nodes: DataFrame, plan: Recursion, most: int) -> DataFrame:
     else:
         # A list far above its expected size holds a clump, say a group of copies. It is cut into
         # blocks, in each list by other hashes, so that the lists together link what a block parts.
-        lists = lists.join(hot, "list", "left").select("list", "node", *PRINT, F.coalesce(F.pmod(F.xxhash64("node", "list"), F.col("blocks")), F.lit(0)).alias("block"))
+        lists = lists.join(hot, "list", "left").select("list", "node", *PRINT, "blocks", F.coalesce(F.pmod(F.xxhash64("node", "list"), F.col("blocks")), F.lit(0)).alias("block"))
     ordered = lists.repartition(parts, "list", "block").sortWithinPartitions("list", "block", "node")
-    return ordered.mapInArrow(search, "u long, v long").distinct()
+    found = ordered.select("list", "block", "node", *PRINT).mapInArrow(search, "u long, v long").distinct()
+    if hot.isEmpty():
+        return found
+    # Then the blocks of such a list meet, but for rows of its greatest component, which hang together
+    # already: whatever is near in a list is joined in the end, and small groups are complete.
+    found = checkpointed(found)
+    rows = checkpointed(lists.filter(F.col("blocks").isNotNull()).select("list", "node", *PRINT))
+    of_rows = rows.select("node").distinct()
+    among = found.join(of_rows.withColumnRenamed("node", "u"), "u", "left_semi").join(of_rows.withColumnRenamed("node", "v"), "v", "left_semi")
+    met = _meetings(checkpointed(_labels(rows, among, "c")), "list", BLOCK, NEIGHBOURS + 1)
+    side = F.when(F.col("b") == F.col("j"), 0).when(F.col("lesser"), 1).otherwise(2).cast("long")
+    met = met.select("list", "i", "j", side.alias("side"), "node", *PRINT)
+    ordered = met.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j")
+    return found.unionAll(ordered.mapInArrow(meet, "u long, v long")).distinct()
 
 
 def _candidates_of_runs(nodes: DataFrame, plan: Recursion, most: int) -> DataFrame:
@@ -278,12 +332,6 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
 SETTLE_BLOCK, HUB_ROUNDS = 2048, 2
 
 
-def _labels(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """``nodes`` with the least node of their component."""
-    found = components(edges).select(F.col("u").alias("node"), F.col("v").alias("__root"))
-    return nodes.join(found, "node", "left").withColumn(name, F.coalesce("__root", "node")).drop("__root")
-
-
 def _block_links(rows: list[tuple[int, int, bytes]], similarity: float) -> list[tuple[int, int]]:
     """Links (one for each merger) among (node, class, members), by exact overlaps from postings."""
     sets = [np.frombuffer(m, np.uint32) for _, _, m in rows]
@@ -338,15 +386,7 @@ def _settle_blocks(open_: DataFrame, sets: DataFrame, similarity: float) -> Data
         if held:
             yield solved()
 
-    # The greatest class of a group needs no pairs of its own: only the blocks of the lesser ones
-    # meet, each other and those of the greatest, so work follows the lesser classes' share.
-    most = open_.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "c")).alias("most"))
-    of = lambda n: F.ceil(n / F.lit(SETTLE_BLOCK))
-    spread = open_.join(most, "g").select("g", "node", "c", (F.col("c") != F.col("most.c")).alias("lesser"), of(F.col("most.k")).alias("first"), of(F.col("n") - F.col("most.k")).alias("more"))
-    key = F.xxhash64("node")
-    spread = spread.withColumn("b", F.when(F.col("lesser"), F.col("first") + F.pmod(key, F.col("more"))).otherwise(F.pmod(key, F.col("first"))))
-    spread = spread.withColumn("o", F.explode(F.sequence(F.when(F.col("lesser"), F.lit(0).cast("long")).otherwise(F.col("first")), F.col("first") + F.col("more") - 1)))
-    spread = spread.select("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "c").join(sets, "node")
+    spread = _meetings(open_, "g", SETTLE_BLOCK).select("g", "i", "j", "node", "c").join(sets, "node")
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = spread.select("g", "i", "j", "node", "c", "members").repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
     return ordered.mapInArrow(run, "u long, v long")

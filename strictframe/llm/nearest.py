@@ -182,40 +182,48 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near_pairs(prints: np.ndarray, most: int, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near_pairs(prints: np.ndarray, most: int, neighbours: int, head: int = 0, joined: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (lower row, higher row, distance) within ``most``, found tile by tile.
 
     A tile in which rows have more than ``DENSE`` near ones on average is thinned
     to each row's nearest ones and one near row of every group known so far, so
     memory doesn't follow the pairs of a clump.  What a thinned row is near to is
     one group from then on: thinning never changes which rows hang together.
+
+    With a ``head`` the first ``head`` rows are compared with the others, and
+    neither part within itself; ``joined`` others are one group from the start.
     """
     n = len(prints)
     low, high, far = [], [], []
     group = np.arange(n)
+    if joined:
+        group[head:] = head
     rows = max(16, min(256, (1 << 20) // max(n, 1)))
-    for i in range(0, n, rows):
+    for i in range(0, head or n, rows):
         # Rows before the tile were compared with it in their own tiles; what thinning left out there is in a large group.
-        d = _distances(prints[i : i + rows], prints[i:])
+        tile, at = prints[i : min(i + rows, head or n)], head or i
+        d = _distances(tile, prints[at:])
         near = d <= most
         own = np.arange(len(d))
-        near[own, own] = False
+        if not head:
+            near[own, own] = False
         if near.sum() <= DENSE * len(d):
             x, y = np.nonzero(near)
             far.append(d[x, y])
-            y += i
+            y += at
         else:
-            d = _distances(prints[i : i + rows], prints)
-            near = d <= most
-            near[own, own + i] = False
-            k = min(neighbours, n - 1)
+            if not head:
+                d = _distances(tile, prints)
+                near = d <= most
+                near[own, own + i] = False
+            k = min(neighbours, d.shape[1] - 1)
             y = np.argpartition(np.where(near, d, 255), k, axis=1)[:, : k + 1].ravel()
             x = np.repeat(own, k + 1)
             keep = near[x, y]
             xs, ys = [x[keep]], [y[keep]]
             for r in np.flatnonzero(near.any(axis=1)).tolist():
                 near_to = np.flatnonzero(near[r])
-                groups, first = np.unique(group[near_to], return_index=True)
+                groups, first = np.unique(group[head + near_to], return_index=True)
                 other = groups != group[i + r]
                 if other.any():
                     ys.append(near_to[first[other]])
@@ -224,6 +232,7 @@ def _near_pairs(prints: np.ndarray, most: int, neighbours: int) -> tuple[np.ndar
                     group[np.isin(group, merged)] = merged.min()
             x, y = np.concatenate(xs), np.concatenate(ys)
             far.append(d[x, y])
+            y += head
         low.append(np.minimum(x + i, y))
         high.append(np.maximum(x + i, y))
     lo, hi, d = map(np.concatenate, (low, high, far))
@@ -249,19 +258,22 @@ class _Sets:
         return i != j
 
 
-def links(prints: np.ndarray, most: int, neighbours: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links(prints: np.ndarray, most: int, neighbours: int = NEIGHBOURS, head: int = 0, joined: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within a list: a minimum spanning forest of its near pairs, and each row's nearest ones.
 
     Groups of up to ``neighbours`` + 1 rows are linked completely, and rows that
     hang together by near pairs hang together by links; the whole list is
-    compared, tile by tile.
+    compared, tile by tile.  With a ``head`` these are the near pairs of one of
+    the first ``head`` rows and one of the others, which may be ``joined``.
     """
     if len(prints) < 2:
         return
-    x, y, d = _near_pairs(prints, most, neighbours)
+    x, y, d = _near_pairs(prints, most, neighbours, head, joined)
     order = np.argsort(d, kind="stable")
     x, y = x[order], y[order]
     sets = _Sets(len(prints))
+    if joined:
+        sets.up[head:] = [head] * (len(prints) - head)
     degree = [0] * len(prints)
     take = []
     for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):

@@ -417,3 +417,65 @@ def test_thinned_tiles_keep_what_hangs_together(monkeypatch):
                     a, b = find(i), find(j)
                     up[max(a, b)] = min(a, b)
             assert [find(i) for i in range(200)] == reach.argmax(axis=1).tolist()
+
+
+def near_of(seed, n, bits):
+    """A random fingerprint and n - 1 others that differ from it in so many bits."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, (1, 3), dtype=np.uint64).repeat(n, axis=0)
+    flips = rng.permuted(np.tile(np.arange(192) < bits, (n, 1)), axis=1)
+    flips[0] = False
+    return base ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+
+
+def grouped(n, edges):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in edges:
+        a, b = find(i), find(j)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("clumps", [(), (90,), (70, 60)])
+def test_blocks_of_a_list_meet(spark, monkeypatch, clumps):
+    """One list that holds everything, cut into blocks: no pair of it is lost, beside clumps and without."""
+    monkeypatch.setattr(neardup, "HOT_LIST", 20)
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    plan, most = Recursion(1, 11, 1), 30
+    prints = np.concatenate([near_of(s, 2 + s % 3 * 5, 9) for s in range(40)] + [near_of(100 + k, n, 8) for k, n in enumerate(clumps)])
+    prints.view(np.uint32)[:, 0] = plan._filters(0, 0)[1][0]  # passes the only filter
+    n = len(prints)
+    df = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(prints)], "node long, f0 long, f1 long, f2 long")
+    got = {(r.u, r.v) for r in neardup.candidates(df, plan, most).collect()}
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(nearest._distances(prints, prints) <= most, 1)))))
+    assert got <= want
+    of = grouped(n, want)
+    assert grouped(n, got) == of
+    sizes = Counter(of)
+    assert {p for p in want if sizes[of[p[0]]] <= nearest.NEIGHBOURS + 1} <= got
+
+
+def test_links_between_two_parts(monkeypatch):
+    """Pairs of a head row and another: none lost between groups, dense or not, and no other pairs."""
+    for dense, joined in ((64, False), (1, False), (1, True)):
+        monkeypatch.setattr(nearest, "DENSE", dense)
+        parts = [near_of(s, 2 + s % 4, 9) for s in range(30)] + [near_of(50, 80, 8)]
+        prints = np.concatenate(parts)
+        rng = np.random.default_rng(3)
+        order = rng.permutation(len(prints) - 80)
+        prints = np.concatenate([prints[order], prints[-80:]])
+        n, head = len(prints), len(order) if joined else len(prints) // 2
+        if joined:
+            prints[:3] = near_of(50, 80, 8)[:3] ^ np.uint64(1)
+        near = nearest._distances(prints, prints) <= 30
+        near[head:] = near[:, :head] = False
+        known = [(head, k) for k in range(head, n)] if joined else []
+        got = [p for x, y in links(prints, 30, head=head, joined=joined) for p in zip(x.tolist(), y.tolist())]
+        assert got and all(near[p] for p in got)
+        assert grouped(n, known + got) == grouped(n, known + list(zip(*(x.tolist() for x in np.nonzero(near)))))
