@@ -479,3 +479,12 @@ def test_links_between_two_parts(monkeypatch):
         got = [p for x, y in links(prints, 30, head=head, joined=joined) for p in zip(x.tolist(), y.tolist())]
         assert got and all(near[p] for p in got)
         assert grouped(n, known + got) == grouped(n, known + list(zip(*(x.tolist() for x in np.nonzero(near)))))
+
+
+def test_near_stage_over_cut_lists(spark, monkeypatch):
+    """The pipeline's stage keeps one text of each class, though blocks part nearly every pair of every list."""
+    monkeypatch.setattr(neardup, "HOT_LIST", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    texts = [t for g in range(25) for t in variants(1000 + g, 2 + g % 2, 1 + g % 4)] + variants(5000, 24, 2) + [prose(9000 + i, 120) for i in range(15)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(classes(texts)))
