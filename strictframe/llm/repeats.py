@@ -45,6 +45,8 @@ from .common import checkpointed, slices
 from .suffixes import repeated, suffix_array
 
 LENGTH, GRAM = 200, 32
+#: Text bytes that are cut into stretches at once: some 14 numbers of 8 bytes are held for each.
+CUT_BYTES = 1 << 18
 #: Distinct stretches of one hash up to which they share a suffix array; bytes of one array.
 HOT, SHARD_BYTES = 2000, 1 << 19
 #: Equal stretches in a row (periodic text) that one row may stand for; with 14 bits for its windows.
@@ -148,7 +150,7 @@ def _stretch_rows(keyed: DataFrame, text_col: str, length: int, gram: int, place
     def run(batches) -> Iterator[pa.RecordBatch]:
         s = Stretches(length, gram)
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col, CUT_BYTES):
                 of, start, n, least, digests = s.cut(_bytes_of(part, text_col))
                 cols = [pa.array(least.view(np.int64)), pa.array(digests.view(np.int64))]
                 if places:

@@ -4,11 +4,13 @@ import dataclasses
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -488,3 +490,19 @@ def test_near_stage_over_cut_lists(spark, monkeypatch):
     texts = [t for g in range(25) for t in variants(1000 + g, 2 + g % 2, 1 + g % 4)] + variants(5000, 24, 2) + [prose(9000 + i, 120) for i in range(15)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(classes(texts)))
+
+
+def test_stretches_hold_a_slice(spark, monkeypatch):
+    """A worker that gets 2 MB of texts in one batch cuts them by parts, with memory in proportion to a part."""
+    made = []
+    df = spark.createDataFrame([("a", 1, 2)], "text string, __h long, __g int")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: made.append(f))
+    repeats._stretch_rows(df, "text", repeats.LENGTH, repeats.GRAM, True)
+    texts = ["".join(f"line {i} of text {k}, as long as a sentence may be. " for i in range(50)) for k in range(850)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts))), pa.array([0] * len(texts), pa.int32())], ["text", "__h", "__g"])
+    assert batch.nbytes > 2 << 20
+    tracemalloc.start()
+    found = Counter(h for b in made[0]([batch]) for h in b.column(2).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and peak < 40e6
