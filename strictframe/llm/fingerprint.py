@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from .common import slices
 
 WIDE, SIGNED = 8, 128
+#: Text bytes that are fingerprinted at once: a paragraph takes some 1 KB meanwhile.
+PRINT_BYTES = 1 << 20
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -172,7 +174,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         pending = None  # the row before, which is the next one of the row to come
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", PRINT_BYTES):
                 rows = pa.Table.from_batches([part] if pending is None else [pending, part]).combine_chunks().to_batches()[0]
                 pending = rows.slice(rows.num_rows - 1)
                 texts = ["" if t is None else t for t in rows.column(1).to_pylist()]

@@ -9,6 +9,7 @@ import subprocess
 import sys
 import textwrap
 import time
+import tracemalloc
 from collections import Counter
 from datetime import date, timedelta
 from pathlib import Path
@@ -16,6 +17,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -455,3 +457,19 @@ def test_cut(n):
     pieces = cut(n, 8)
     assert sum(k for _, k in pieces) == n and all(k == 8 for _, k in pieces[1:])
     assert [s for s, _ in pieces] == [sum(k for _, k in pieces[:j]) for j in range(len(pieces))]
+
+
+def test_fingerprints_hold_a_slice(spark, monkeypatch):
+    """A worker that gets 4 MB of texts in one batch holds some MB meanwhile, not twenty times the batch."""
+    made = []
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: made.append(f))
+    fingerprint_pairs(df)
+    texts = ["".join(f"line {i} of text {k}, as long as a sentence may be. " for i in range(50)) for k in range(1700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([0] * len(texts), pa.int32()), pa.array([False] * len(texts))], ["doc_id", "__text", "__range", "__edge"])
+    assert batch.nbytes > 4 << 20
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in made[0]([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) - 1 and peak < 50e6
